@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_own: list[str] = []
+
+
 def session(app: str = "tarmill", cores: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     b = (
@@ -41,10 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tarmill-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tarmill-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def fresh(spark: SparkSession, what: str) -> str:
