@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmill.llm import forms, packing, quotas, together
+from tarmill.llm import encoding, forms, leaks, packing, quotas, together
 from tarmill.llm.sql import SQL
 from tarmill.runtime import table
 
@@ -67,6 +67,27 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return together.assign(table(spark, d, "dial_speakers"), table(spark, d, "speaker_links"), w)
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, decoded from its ids."""
+    return encoding.decode(p6_ids(spark, d), "doc_id", "ids")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source hold passages of each evaluation split's items, and how many items those are."""
+    at = table(spark, d, "documents").select("doc_id", "source")
+    of = table(spark, d, "eval_items").select("item_id", "split_id")
+    x = p7_found(spark, d).join(F.broadcast(of), "item_id").join(at, "doc_id")
+    return x.groupBy("split_id", "source").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -48,4 +48,5 @@ with recursive
     from speakers),
   x as (select s.u, s.side, coalesce(p, s.u) p from s left join person using (u) where s.u is not null)
 select distinct u speaker_id from x where p in (select p from x group by p having count(distinct side) > 1)""",
+    "p6_texts": "select doc_id, coalesce(text, '') as text from documents",
 }
