@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmill.llm import encoding, forms, leaks, packing, quotas, together
+from tarmill.llm import encoding, forms, leaks, levels, overlap, packing, quotas, together
 from tarmill.llm.sql import SQL
 from tarmill.runtime import table
 
@@ -67,6 +67,15 @@ def p4_sides(spark: SparkSession, d: str) -> DataFrame:
     return together.assign(table(spark, d, "dial_speakers"), table(spark, d, "speaker_links"), w)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "clips"), table(spark, d, "split_ids"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping clips of each evaluation list and dataset."""
+    return overlap.report(table(spark, d, "clips"), table(spark, d, "split_ids"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -88,6 +97,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("split_id", "source").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).where("level >= 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level and score of every document."""
+    return levels.graded(table(spark, d, "documents"), table(spark, d, "doc_levels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
