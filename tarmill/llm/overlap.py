@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.feather
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,11 +31,17 @@ LEAST_WORDS = 6
 PERCENT = 15
 #: Characters of evaluation text in one index; about 40 MB of files.
 SHARD_CHARS = 6_000_000
+#: Texts are indexed by length, in bands of this ratio: a text is searched only where the lengths allow a match.
+BAND = 1.2
 #: A match is extended to the left until it occurs this often or seldomer in the shard, or is ORDER characters long. All its
-#: occurrences are taken in any case.
-RARE = 96
+#: occurrences are taken in any case. Texts that need more spans use STEP times this, and so on.
+RARE = 32
+#: Of the spans of a text, one more than the errors allowed is kept, and a share of 1 / SPARE of those errors.
+SPARE = 8
+STEP = 2
 ORDER = 12  # suffixes are sorted by so many characters
-SEGMENT = 128  # characters of a text that are searched in one row of the vectorised search
+SEGMENT = 192  # characters of a text that are searched in one row of the vectorised search
+GATHERED = 40_000  # texts searched at once
 
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 
@@ -116,19 +123,19 @@ def _rank(index: dict[str, np.ndarray], c: np.ndarray, i: np.ndarray, blocks: in
     return index["before"][k] + np.bitwise_count(below)
 
 
-def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, low, high) of the successive matches of each text, from right to left: rows low to high of the index
-    hold all suffixes that begin with the match."""
+def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, which: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, low, high) of the successive matches of the texts numbered which, from right to left: rows low to high of
+    the index hold all suffixes that begin with the match. Spans that don't occur at all have low = high."""
     n = int(index["size"][0])
     blocks = n // 64 + 1
     size = np.diff(start) - 1
-    parts = np.maximum(1, -(-size // SEGMENT))
-    text = np.repeat(np.arange(len(size)), parts)
+    parts = np.maximum(1, -(-size[which] // SEGMENT))
+    text = np.repeat(which, parts)
     k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
     left = start[text] + k * SEGMENT
     here = np.minimum(left + SEGMENT, start[text] + size[text])
     low, high, end = np.zeros(len(text), np.int64), np.full(len(text), n, np.int64), here.copy()
-    out = []
+    out = [(np.zeros(0, np.int64),) * 4]
     while len(text):
         go = here > left
         if not go.all():
@@ -139,14 +146,10 @@ def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray) ->
         c = row[here].astype(np.int64)
         base = index["first"][c]
         low, high = base + _rank(index, c, low, blocks), base + _rank(index, c, high, blocks)
-        many = high - low
-        done = (many <= RARE) | (end - here >= ORDER)
-        hit = done & (many > 0)
-        if hit.any():
-            out.append((text[hit], here[hit] - start[text[hit]], low[hit], high[hit]))
+        done = (high - low <= rare) | (end - here >= ORDER)
+        if done.any():
+            out.append((text[done], here[done] - start[text[done]], low[done], high[done]))
         low, high, end = np.where(done, 0, low), np.where(done, n, high), np.where(done, here, end)
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -154,30 +157,73 @@ def allowed(longer: np.ndarray) -> np.ndarray:
     return longer * PERCENT // 100
 
 
-def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(text, evaluation text) whose matches fall at places, lengths and letter counts that the allowed errors can explain."""
-    text, place, low, high = matches(index, row, start)
+def chosen(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """matches() of all texts, and how many spans each text keeps.
+
+    An error spoils one span at most. Texts that fall into no more spans than the errors allowed are cut again into shorter,
+    more frequent ones. Then only the rarest spans of each text are kept, some more than the errors allowed: the rest isn't
+    needed to find every near copy.
+    """
+    size = np.diff(start) - 1
+    most = allowed(size * 100 // (100 - PERCENT) + 1)  # the longest text that can match
+    todo, rare, got = np.flatnonzero(size > 0), RARE, []
+    while len(todo):
+        m = matches(index, row, start, todo, rare)
+        few = np.bincount(m[0], minlength=len(size)) <= most
+        again = few[todo] & (rare < int(index["size"][0]))
+        got.append(tuple(x[~few[m[0]]] for x in m) if again.any() else m)
+        todo, rare = todo[again], rare * STEP
+    text, place, low, high = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((high - low, text))
+    text, place, low, high = text[order], place[order], low[order], high[order]
+    number = np.arange(len(text)) - np.searchsorted(text, text, "left")
+    keep = number < (most + 1 + most // SPARE)[text]
+    kept = np.bincount(text[keep], minlength=len(size))
+    keep &= high > low
+    return text[keep], place[keep], low[keep], high[keep], kept
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers in order, and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[first], np.diff(first, append=len(x))
+
+
+def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, block: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(text, evaluation text) whose matches fall at places, lengths and letter counts that the allowed errors can explain.
+
+    Of s spans at least s - errors occur in a near copy, at a distance of at most errors from their place in the text, so
+    the spans of a pair are merged and counted; no pair is lost.
+    """
+    text, place, low, high, kept = chosen(index, row, start)
     size, other = np.diff(start) - 1, np.diff(index["start"]) - 1
-    n = high - low
-    total = np.cumsum(n)
-    pairs = []
-    for a in range(0, int(total[-1]) if len(total) else 0, block):  # occurrences, block by block
-        i, j = np.searchsorted(total, a, "right"), np.searchsorted(total, min(a + block, int(total[-1])), "left")
-        m = n[i : j + 1].copy()
-        skip = a - (int(total[i]) - int(n[i]))
-        offset = np.concatenate([[0], np.cumsum(m)[:-1]])
-        which = np.repeat(np.arange(i, j + 1), m)
-        suffix = np.arange(m.sum()) - np.repeat(offset, m) + low[which]
-        which, suffix = which[skip : skip + block], suffix[skip : skip + block]
-        t, e = text[which], index["of"][suffix]
-        longer = np.maximum(size[t], other[e])
-        most = allowed(longer)
-        ok = (np.abs(size[t] - other[e]) <= most) & (np.abs(index["at"][suffix] - place[which]) <= most)
-        pairs.append(np.unique(t[ok].astype(np.int64) << 32 | e[ok]))
+    n = (high - low).astype(np.int64)
+    most = allowed(size * 100 // (100 - PERCENT) + 1)[text]
+    left, width = (place - most).astype(np.int32), (2 * most).astype(np.int32)
+    total = np.concatenate([[0], np.cumsum(n)])
+    pairs, hits, i = [], [], 0
+    while i < len(n):  # occurrences, in blocks of whole spans
+        j = max(i + 1, int(np.searchsorted(total, total[i] + block, "right")) - 1)
+        m = n[i:j]
+        suffix = np.arange(total[j] - total[i]) + np.repeat(low[i:j] - total[i:j] + total[i], m)
+        off = index["at"][suffix] - np.repeat(left[i:j], m)
+        near = np.flatnonzero((off >= 0) & (off <= np.repeat(width[i:j], m)))
+        which = np.repeat(np.arange(i, j), m)[near]
+        e = index["of"][suffix[near]]
+        mine, theirs = size[text[which]], other[e]
+        ok = np.abs(mine - theirs) <= np.maximum(mine, theirs) * PERCENT // 100
+        once, _ = _runs(which[ok] << 32 | e[ok])  # a span counts once for a pair, however often it occurs there
+        pair, k = _runs(text[once >> 32] << 32 | once & 0xFFFFFFFF)
+        pairs.append(pair), hits.append(k)
+        i = j
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(pairs))
+    both, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    k = np.bincount(back, np.concatenate(hits), minlength=len(both))
     t, e = both >> 32, both & 0xFFFFFFFF
+    enough = k >= kept[t] - allowed(np.maximum(size[t], other[e]))
+    t, e = t[enough], e[enough]
     own = histogram(row, start)
     keep = []
     for a in range(0, len(t), 200_000):
@@ -238,49 +284,63 @@ def _open(folder: str) -> tuple[dict[str, np.ndarray], pa.Table]:
 def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(train_key, held_key, edits) of all pairs within PERCENT of the longer text.
 
-    train, held: (key binary, text), each key once, texts as plain() makes them. Evaluation texts are spread over shards of
-    about shard_chars by a hash of their key; each is indexed by one task into the shared folder, and training texts are
-    searched in every shard by tasks that map the files into memory. Nothing is collected or broadcast.
+    train, held: (key binary, text), texts as plain() makes them; keys of held are different. Evaluation texts are spread over
+    shards by their length, and by a hash of their key where a band of lengths holds more than shard_chars; each shard is
+    indexed by one task into the shared folder, and training texts are searched, by tasks that map the files into memory, in
+    the shards whose lengths they can match. Only the shards' names and lengths reach the driver.
     """
-    import pyarrow.feather  # noqa: F401
-
-    spark = train.sparkSession
-    held = held.where("text <> ''")
-    total = held.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_chars))
-    folder = local_path(fresh(spark, "overlap"))
+    held = held.where("text <> ''").withColumn("band", F.floor(F.log(F.length("text").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    chars = held.groupBy("band").agg(F.sum(F.length("text") + 1).alias("chars"))
+    held = held.join(F.broadcast(chars.select("band", F.ceil(F.col("chars") / shard_chars).cast("int").alias("cuts"))), "band")  # a row for each band
+    folder = local_path(fresh(train.sparkSession, "overlap"))
     os.makedirs(folder, exist_ok=True)
 
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pyarrow.feather  # noqa: F401
-
-        s = int(pdf["shard"].iloc[0])
+    def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        band, part = (int(k) for k in key)
         pdf = pdf.sort_values("key")
-        _save(f"{folder}/{s}", build(pdf["text"].tolist()), [bytes(k) for k in pdf["key"]], pdf["text"].tolist())
-        return pd.DataFrame({"shard": [s], "texts": [len(pdf)]})
-
-    made = held.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(index, "shard int, texts long")
-    names = [f"{folder}/{r['shard']}" for r in made.select("shard").collect()]  # a row for each shard
+        _save(f"{folder}/{band}-{part}", build(pdf["text"].tolist()), [bytes(k) for k in pdf["key"]], pdf["text"].tolist())
+        size = pdf["text"].str.len()
+        return pd.DataFrame({"band": [band], "part": [part], "least": [int(size.min())], "most": [int(size.max())]})
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.feather  # noqa: F401
+    made = held.withColumn("part", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).groupBy("band", "part").applyInPandas(index, "band int, part int, least int, most int")
+    shards = sorted((r["least"], r["most"], f"{folder}/{r['band']}-{r['part']}") for r in made.collect())  # a row for each shard
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Batches joined to some tens of thousands of rows, as each call has a fixed cost."""
+        held_back: list[pa.RecordBatch] = []
         for b in batches:
-            texts = b.column(1).to_pylist()
-            row, start = letters(texts)
-            for name in names:
+            held_back.append(b)
+            if sum(x.num_rows for x in held_back) >= GATHERED or sum(x.nbytes for x in held_back) >= 16_000_000:
+                yield pa.Table.from_batches(held_back).combine_chunks()
+                held_back = []
+        if held_back:
+            yield pa.Table.from_batches(held_back).combine_chunks()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            keys = b.column(0).chunk(0).cast(pa.binary()) if b.num_rows else pa.array([], pa.binary())
+            texts = np.array(b.column(1).to_pylist(), object)
+            size = np.array([len(t) for t in texts], np.int64)
+            longest, shortest = allowed(size * 100 // (100 - PERCENT) + 1) + size, size - allowed(size)
+            for least, most, name in shards:
+                own = np.flatnonzero((longest >= least) & (shortest <= most))
+                if not len(own):
+                    continue
                 idx, held_texts = _open(name)
+                row, start = letters(texts[own].tolist())
                 t, e = candidates(idx, row, start)
+                t = own[t]
                 other = held_texts.column("text").take(pa.array(e)).to_pylist()
                 keep_t, keep_e, edits = [], [], []
                 for i, j, o in zip(t.tolist(), e.tolist(), other):
-                    most = max(len(texts[i]), len(o)) * PERCENT // 100
-                    d = distance(texts[i], o, most)
-                    if d <= most:
+                    limit = max(len(texts[i]), len(o)) * PERCENT // 100
+                    d = distance(texts[i], o, limit)
+                    if d <= limit:
                         keep_t.append(i), keep_e.append(j), edits.append(d)
-                found = held_texts.column("key").take(pa.array(keep_e, pa.int64())).combine_chunks()
-                found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep_t, pa.int64())).cast(pa.binary()), found.cast(pa.binary()), pa.array(edits, pa.int32())], ["train_key", "held_key", "edits"])
+                if keep_t:
+                    found = held_texts.column("key").take(pa.array(keep_e, pa.int64())).combine_chunks()
+                    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep_t, pa.int64())), found.cast(pa.binary()), pa.array(edits, pa.int32())], ["train_key", "held_key", "edits"])
 
     return train.where("text <> ''").select("key", "text").mapInArrow(search, "train_key binary, held_key binary, edits int")
 
@@ -297,29 +357,28 @@ def sides(splits: DataFrame) -> DataFrame:
 
 
 def records(clips: DataFrame, splits: DataFrame) -> DataFrame:
-    """(id, train, held, key, text): clips that are in some list, once each, with their comparable text; key is null for
-    texts of fewer than six words. If rows of one id differ in text, the greatest text is taken."""
-    c = clips.select(codes.trimmed(F.col("id")).alias("id"), F.col("text_normalized").alias("raw"))
-    x = c.join(sides(splits), "id").groupBy("id", "train", "held").agg(F.max("raw").alias("raw"))
-    x = x.select("id", "train", "held", plain_column("raw").alias("text"))
-    text = F.when(F.size(F.split("text", " ")) >= LEAST_WORDS, F.col("text"))
-    return x.select("id", "train", "held", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    """(id, train, held, key, text): clips that are in some list, with their comparable text; key and text are null for texts
+    of fewer than six words. A clip that was loaded several times has as many rows; if its texts differ, each counts."""
+    c = clips.select(codes.trimmed(F.col("id")).alias("id"), plain_column("text_normalized").alias("text"))
+    c = c.withColumn("text", F.when(F.size(F.split("text", " ")) >= LEAST_WORDS, F.col("text")))
+    c = c.withColumn("key", F.unhex(F.md5("text")))
+    return c.join(sides(splits).hint("shuffle_hash"), "id").select("id", "train", "held", "key", "text")
 
 
 def overlaps(clips: DataFrame, splits: DataFrame) -> DataFrame:
     """(id_a, id_b) of all pairs of a training clip and an evaluation clip that are the same or nearly so, smaller id first.
 
-    Null, empty and short texts match nothing; an id in both kinds of list is paired with itself whatever its text. Every
-    different text is searched once, however many clips share it.
+    Null, empty and short texts match nothing; an id in both kinds of list is paired with itself whatever its text. Each
+    different evaluation text is indexed once.
     """
     r = cut(records(clips, splits), "records")
-    texts = r.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.max("train").alias("train"), F.max("held").alias("held"))
-    texts = cut(texts, "texts")
-    found = near(texts.where("train").select("key", "text"), texts.where("held").select("key", "text"))
-    members = r.where("key is not null")
-    a = members.where("train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"))
-    b = members.where("held").select(F.col("key").alias("held_key"), F.col("id").alias("held_id"))
-    pairs = found.select("train_key", "held_key").join(a, "train_key").join(b, "held_key").select("train_id", "held_id")
+    known = r.where("key is not null")
+    held = known.where("held").groupBy("key").agg(F.first("text").alias("text"))
+    found = near(known.where("train").select("key", "text"), held).select("train_key", "held_key").distinct()
+    a = known.where("train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id")).distinct()
+    b = known.where("held").select(F.col("key").alias("held_key"), F.col("id").alias("held_id")).distinct()
+    found = cut(found, "found")
+    pairs = found.join(a, "train_key").join(b, "held_key").select("train_id", "held_id")
     both = r.where("train and held").select(F.col("id").alias("train_id"), F.col("id").alias("held_id"))
     every = pairs.unionByName(both)
     return every.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
