@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,52 +36,95 @@ CONNECTIVES = frozenset(
 # Frequent English words that show a text's language.
 ENGLISH = frozenset("the of and to in a is that it for was on with as are by this at from but not have had his her they be an or which you she he we its their".split())
 
-_MARKUP = re.compile(r"<[^<>\n]{1,60}>|&\w{2,8};|\[[^\]\n]{0,30}\]|\b\w*\d[\w-]*:?|(?<![^\W_])[^\W\d_]:(?=\s)|[#*_`>|]+")
+_TAG = re.compile(r"<[^<>\n]{1,60}>|&\w{2,8};")
+_BRACKET = re.compile(r"\[[^\]\n]{0,30}\]")
+_NUMBER = re.compile(r"(?<!\w)[^\W\d]*\d[\w-]*:?")
+_LABEL = re.compile(r"(?<!\w)[^\W\d_]:(?=\s)")
+_DIGIT, _SIGNS = re.compile(r"\d"), re.compile(r"[#*_`>|]")
+_SIGN = str.maketrans(dict.fromkeys("#*_`>|", " "))
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?…]+(?=\s|$)|[,;()–—]")
 NAMES = ["length", "long", "longer", "rarity", "rare", "diversity", "connectives", "depth", "sentence", "unstopped", "english"]
 
 
 def tokens(text: str | None) -> list[str]:
     """Words and marks of a text in lower case, without markup, time codes, clip ids, speaker labels and numbers."""
-    return _TOKEN.findall(_MARKUP.sub(" ", text).lower()) if text else []
+    if not text:
+        return []
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    if "[" in text:
+        text = _BRACKET.sub(" ", text)
+    if _DIGIT.search(text):
+        text = _NUMBER.sub(" ", text)
+    if ":" in text:
+        text = _LABEL.sub(" ", text)
+    return _TOKEN.findall(text.translate(_SIGN).lower() if _SIGNS.search(text) else text.lower())
 
 
 def buckets(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).astype(np.int64) & (BUCKETS - 1)
 
 
-def measure(toks: list[str], rarity: dict[str, float]) -> list[float] | None:
-    """The features of one document, in the order of NAMES; None for one without words."""
-    is_word = np.array([t[0].isalpha() for t in toks], bool)
-    words = [t for t, w in zip(toks, is_word) if w]
-    n = len(words)
-    if not n:
-        return None
-    size = np.array([len(w) for w in words], float)
-    rare = np.array([rarity[w] for w in words])
-    stops = np.array([t[0] in ".!?…" for t in toks], bool)
-    part = np.cumsum(stops)
-    sentence = part[is_word]
-    per = np.bincount(sentence, minlength=part[-1] + 1)
-    inner = np.bincount(part[~is_word & ~stops], minlength=part[-1] + 1)
-    long = per[sentence]
-    unstopped = float(np.median(long) > LONGEST_SENTENCE)
-    depth = inner / np.maximum(per, 1)
-    k = max(1, round(n / STRETCH))
-    edge = np.linspace(0, n, k + 1).astype(int)
-    width = np.diff(edge)
-
-    def typical(x: np.ndarray) -> float:
-        return float(np.median(np.add.reduceat(x, edge[:-1]) / width))
-
-    kinds = [len(set(words[a:b])) / (b - a) for a, b in zip(edge, edge[1:])]
-    link = np.array([w in CONNECTIVES for w in words], float)
-    english = np.array([w in ENGLISH for w in words], float)
-    return [
-        typical(size), typical((size >= 10).astype(float)), typical((size >= 13).astype(float)), typical(rare),
-        typical((rare > 14).astype(float)), float(np.median(kinds)), typical(link), 0.0 if unstopped else float(np.median(depth[sentence])),
-        0.0 if unstopped else float(np.log1p(np.median(long))), unstopped, typical(english),
-    ]
+def _medians(x: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The median of x in each group; group is in order, and no group is empty."""
+    x = x[np.lexsort((x, group))]
+    n = np.bincount(group, minlength=groups)
+    first = np.cumsum(n) - n
+    return (x[first + (n - 1) // 2] + x[first + n // 2]) / 2
+
+
+def _weighted_medians(x: np.ndarray, weight: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The least x at which half the weight of its group is reached; group is in order, no group is empty."""
+    o = np.lexsort((x, group))
+    reached = np.cumsum(weight[o])
+    whole = np.bincount(group, weight, minlength=groups)
+    before = np.cumsum(whole) - whole
+    return x[o][np.searchsorted(reached, before + whole / 2, "left")]
+
+
+def measure(docs: list[list[str]], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, features): the number of words and the features, in the order of NAMES, of each tokenised document; rows of NaN
+    for those without words. bits: the rarity of each hash bucket. A whole batch is computed at once."""
+    vocabulary = list(set().union(*docs)) if docs else []
+    number = {t: i for i, t in enumerate(vocabulary)}
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.int64, sum(map(len, docs)))
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flag = lambda test: np.fromiter(map(test, vocabulary), bool, len(vocabulary))[ids]
+    word, stop = flag(lambda t: t[0].isalpha()), flag(lambda t: t[0] in ".!?…")
+    sentence = np.cumsum(stop) + doc  # a document begins a new one
+    per = np.bincount(sentence[word], minlength=int(sentence[-1]) + 1 if len(sentence) else 1)
+    inner = np.bincount(sentence[~word & ~stop], minlength=len(per))
+    n = np.bincount(doc[word], minlength=len(docs))
+    out = np.full((len(docs), len(NAMES)), np.nan)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return n, out
+    link, english = flag(CONNECTIVES.__contains__)[word], flag(ENGLISH.__contains__)[word]
+    size = np.fromiter(map(len, vocabulary), float, len(vocabulary))[ids][word]
+    rare = bits[buckets(vocabulary)][ids][word]
+    own, at = doc[word], sentence[word]
+    own = np.searchsorted(full, own)  # documents with words, numbered
+    m = n[full]
+    stretches = np.maximum(1, np.rint(m / STRETCH).astype(np.int64))
+    place = np.arange(len(own)) - (np.cumsum(m) - m)[own]
+    part = place * stretches[own] // m[own] + (np.cumsum(stretches) - stretches)[own]
+    parts = np.repeat(np.arange(len(full)), stretches)
+    width = np.bincount(part)
+    kinds = np.sort(part << 32 | ids[word])
+    different = np.bincount(kinds[np.diff(kinds, prepend=-1) > 0] >> 32)
+    typical = lambda x: _medians(np.bincount(part, x) / width, parts, len(full))
+    real = np.flatnonzero(per)  # sentences with words; each counts by its words
+    of = np.zeros(len(per), np.int64)
+    of[at] = own
+    long = _weighted_medians(per[real].astype(float), per[real], of[real], len(full))
+    depth = _weighted_medians(inner[real] / per[real], per[real], of[real], len(full))
+    unstopped = long > LONGEST_SENTENCE
+    out[full] = np.stack([
+        typical(size), typical(size >= 10), typical(size >= 13), typical(rare), typical(rare > 14),
+        _medians(different / width, parts, len(full)), typical(link), np.where(unstopped, 0, depth),
+        np.where(unstopped, 0, np.log1p(long)), unstopped, typical(english),
+    ], 1)
+    return n, out
 
 
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -113,12 +157,8 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks = [tokens(t) for t in b.column(1).to_pylist()]
-            vocabulary = list(set().union(*toks)) if toks else []
-            rarity = dict(zip(vocabulary, shared.value[buckets(vocabulary)].tolist()))
-            rows = [measure(t, rarity) for t in toks]
-            n = [sum(x[0].isalpha() for x in t) for t in toks]
-            cols = [pa.array([None if r is None else r[i] for r in rows], pa.float64()) for i in range(len(NAMES))]
+            n, x = measure([tokens(t) for t in b.column(1).to_pylist()], shared.value)
+            cols = [pa.array(c, pa.float64(), from_pandas=True) for c in x.T]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), *cols], [key, "words", *NAMES])
 
     return src.mapInArrow(run, f"`{key}` {kind}, words int, " + ", ".join(f"{c} double" for c in NAMES))
