@@ -14,14 +14,14 @@ import shutil
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.feather
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tarmill.llm import codes, forms
 from tarmill.runtime import cut, fresh, local_path
@@ -32,7 +32,7 @@ PERCENT = 15
 #: Characters of evaluation text in one index; about 40 MB of files.
 SHARD_CHARS = 6_000_000
 #: Texts are indexed by length, in bands of this ratio: a text is searched only where the lengths allow a match.
-BAND = 1.2
+BAND = 1.25
 #: A match is extended to the left until it occurs this often or seldomer in the shard, or is ORDER characters long. All its
 #: occurrences are taken in any case. Texts that need more spans use STEP times this, and so on.
 RARE = 32
@@ -41,9 +41,11 @@ SPARE = 8
 STEP = 2
 ORDER = 12  # suffixes are sorted by so many characters
 SEGMENT = 192  # characters of a text that are searched in one row of the vectorised search
-GATHERED = 40_000  # texts searched at once
+GATHERED = 120_000  # texts searched at once
 
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
+_ODD = re.compile(r"[^ -~ĄČĘĖĮŠŲŪŽąčęėįšųūž\n\r\t]")
+_SIGN = re.compile(r"[^a-z0-9\s]+")
 
 
 def plain(text: str | None) -> str | None:
@@ -54,18 +56,18 @@ def plain(text: str | None) -> str | None:
     return " ".join(_PUNCTUATION.sub(" ", "".join(c for c in t if not unicodedata.combining(c))).split())
 
 
-@F.pandas_udf(StringType())
-def _plain_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(plain, na_action="ignore")
-
-
-def plain_column(text: str) -> Column:
-    """plain() of a column; texts of ASCII and Lithuanian letters are handled in the JVM, the few others in Python."""
-    t = F.col(text)
-    odd = t.rlike(r"[^ -~ĄČĘĖĮŠŲŪŽąčęėįšųūž\n\r\t]")
-    folded = F.regexp_replace(F.translate(F.lower(t), codes.ACCENTED, codes.PLAIN), "[^a-z0-9]+", " ")
-    return F.when(odd, _plain_udf(F.when(odd, t))).otherwise(F.trim(folded))
+def comparable(text: str | None) -> str | None:
+    """plain() of a text, or None if it has fewer than LEAST_WORDS words."""
+    if text is None:
+        return None
+    if _ODD.search(text):
+        t = plain(text)
+    else:  # ASCII and letters with marks: what plain() does, faster
+        t = unicodedata.normalize("NFKD", text.lower()).encode("ascii", "ignore").decode()
+        if _SIGN.search(t):
+            t = _SIGN.sub(" ", t)
+        t = " ".join(t.split())
+    return t if t.count(" ") >= LEAST_WORDS - 1 else None
 
 
 # --- the index of one shard -------------------------------------------------------------------------------------------
@@ -190,7 +192,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(first, append=len(x))
 
 
-def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, block: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, block: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """(text, evaluation text) whose matches fall at places, lengths and letter counts that the allowed errors can explain.
 
     Of s spans at least s - errors occur in a near copy, at a distance of at most errors from their place in the text, so
@@ -319,7 +321,9 @@ def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> D
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             keys = b.column(0).chunk(0).cast(pa.binary()) if b.num_rows else pa.array([], pa.binary())
-            texts = np.array(b.column(1).to_pylist(), object)
+            one = dict(zip(b.column(1).to_pylist(), range(b.num_rows)))  # copies are searched once
+            keys = keys.take(pa.array(list(one.values()), pa.int64()))
+            texts = np.array(list(one), object)
             size = np.array([len(t) for t in texts], np.int64)
             longest, shortest = allowed(size * 100 // (100 - PERCENT) + 1) + size, size - allowed(size)
             for least, most, name in shards:
@@ -359,9 +363,13 @@ def sides(splits: DataFrame) -> DataFrame:
 def records(clips: DataFrame, splits: DataFrame) -> DataFrame:
     """(id, train, held, key, text): clips that are in some list, with their comparable text; key and text are null for texts
     of fewer than six words. A clip that was loaded several times has as many rows; if its texts differ, each counts."""
-    c = clips.select(codes.trimmed(F.col("id")).alias("id"), plain_column("text_normalized").alias("text"))
-    c = c.withColumn("text", F.when(F.size(F.split("text", " ")) >= LEAST_WORDS, F.col("text")))
-    c = c.withColumn("key", F.unhex(F.md5("text")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [comparable(t) for t in b.column(1).to_pylist()]
+            keys = [None if t is None else md5(t.encode()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["id", "key", "text"])
+
+    c = clips.select(codes.trimmed(F.col("id")).alias("id"), "text_normalized").mapInArrow(run, "id string, key binary, text string")
     return c.join(sides(splits).hint("shuffle_hash"), "id").select("id", "train", "held", "key", "text")
 
 
