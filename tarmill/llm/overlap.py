@@ -39,9 +39,10 @@ RARE = 32
 #: Of the spans of a text, one more than the errors allowed is kept, and a share of 1 / SPARE of those errors.
 SPARE = 8
 STEP = 2
+JUMP = 4  # the first characters of a match are looked up in a table
 ORDER = 12  # suffixes are sorted by so many characters
 SEGMENT = 192  # characters of a text that are searched in one row of the vectorised search
-GATHERED = 120_000  # texts searched at once
+GATHERED = 50_000  # texts searched at once
 
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 _ODD = re.compile(r"[^ -~ĄČĘĖĮŠŲŪŽąčęėįšųūž\n\r\t]")
@@ -111,8 +112,10 @@ def build(texts: list[str]) -> dict[str, np.ndarray]:
         before[c, 1:] = np.cumsum(np.bitwise_count(bits[c]))[:-1]
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=32))[:-1]]).astype(np.int64)
     of = np.searchsorted(start, order, "right") - 1
+    head = (key[order] >> np.uint64(5 * (ORDER - JUMP))).astype(np.int64)
+    jump = np.searchsorted(head, np.arange((1 << 5 * JUMP) + 1)).astype(np.int64)
     return {
-        "bits": bits.ravel(), "before": before.ravel(), "first": first, "of": of.astype(np.int32),
+        "jump": jump, "bits": bits.ravel(), "before": before.ravel(), "first": first, "of": of.astype(np.int32),
         "at": (order - start[of]).astype(np.int32), "start": start.astype(np.int64), "counts": histogram(row, start),
         "size": np.array([n]),
     }
@@ -136,6 +139,7 @@ def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, wh
     k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
     left = start[text] + k * SEGMENT
     here = np.minimum(left + SEGMENT, start[text] + size[text])
+    jump = index["jump"]
     low, high, end = np.zeros(len(text), np.int64), np.full(len(text), n, np.int64), here.copy()
     out = [(np.zeros(0, np.int64),) * 4]
     while len(text):
@@ -144,10 +148,18 @@ def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, wh
             text, left, here, low, high, end = (x[go] for x in (text, left, here, low, high, end))
             if not len(text):
                 break
-        here = here - 1
-        c = row[here].astype(np.int64)
-        base = index["first"][c]
-        low, high = base + _rank(index, c, low, blocks), base + _rank(index, c, high, blocks)
+        begin = (end == here) & (here - left >= JUMP)
+        a, b = np.flatnonzero(begin), np.flatnonzero(~begin)
+        head = np.zeros(len(a), np.int64)
+        for j in range(JUMP, 0, -1):
+            head = head << 5 | row[here[a] - j]
+        here[a] -= JUMP
+        low[a], high[a] = jump[head], jump[head + 1]
+        if len(b):
+            here[b] -= 1
+            c = row[here[b]].astype(np.int64)
+            base = index["first"][c]
+            low[b], high[b] = base + _rank(index, c, low[b], blocks), base + _rank(index, c, high[b], blocks)
         done = (high - low <= rare) | (end - here >= ORDER)
         if done.any():
             out.append((text[done], here[done] - start[text[done]], low[done], high[done]))
@@ -204,9 +216,12 @@ def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray,
     most = allowed(size * 100 // (100 - PERCENT) + 1)[text]
     left, width = (place - most).astype(np.int32), (2 * most).astype(np.int32)
     total = np.concatenate([[0], np.cumsum(n)])
-    pairs, hits, i = [], [], 0
-    while i < len(n):  # occurrences, in blocks of whole spans
-        j = max(i + 1, int(np.searchsorted(total, total[i] + block, "right")) - 1)
+    edge = np.concatenate([np.flatnonzero(np.diff(text, prepend=-1)), [len(text)]])  # where texts begin
+    found_t, found_e, x = [], [], 0
+    while x < len(edge) - 1:  # occurrences, in blocks of whole texts
+        y = max(x + 1, int(np.searchsorted(total[edge], total[edge[x]] + block, "right")) - 1)
+        i, j = edge[x], edge[y]
+        x = y
         m = n[i:j]
         suffix = np.arange(total[j] - total[i]) + np.repeat(low[i:j] - total[i:j] + total[i], m)
         off = index["at"][suffix] - np.repeat(left[i:j], m)
@@ -217,15 +232,12 @@ def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray,
         ok = np.abs(mine - theirs) <= np.maximum(mine, theirs) * PERCENT // 100
         once, _ = _runs(which[ok] << 32 | e[ok])  # a span counts once for a pair, however often it occurs there
         pair, k = _runs(text[once >> 32] << 32 | once & 0xFFFFFFFF)
-        pairs.append(pair), hits.append(k)
-        i = j
-    if not pairs:
+        t, e = pair >> 32, pair & 0xFFFFFFFF
+        enough = k >= kept[t] - allowed(np.maximum(size[t], other[e]))
+        found_t.append(t[enough]), found_e.append(e[enough])
+    if not found_t:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both, back = np.unique(np.concatenate(pairs), return_inverse=True)
-    k = np.bincount(back, np.concatenate(hits), minlength=len(both))
-    t, e = both >> 32, both & 0xFFFFFFFF
-    enough = k >= kept[t] - allowed(np.maximum(size[t], other[e]))
-    t, e = t[enough], e[enough]
+    t, e = np.concatenate(found_t), np.concatenate(found_e)
     own = histogram(row, start)
     keep = []
     for a in range(0, len(t), 200_000):
@@ -279,7 +291,7 @@ def _save(folder: str, index: dict[str, np.ndarray], keys: list[bytes], texts: l
 
 
 def _open(folder: str) -> tuple[dict[str, np.ndarray], pa.Table]:
-    names = ["bits", "before", "first", "of", "at", "start", "counts", "size"]
+    names = ["jump", "bits", "before", "first", "of", "at", "start", "counts", "size"]
     return {k: np.load(f"{folder}/{k}.npy", mmap_mode="r") for k in names}, pa.feather.read_table(f"{folder}/texts.arrow", memory_map=True)
 
 
