@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tarmill.plans import text_queries
+from tarmill.plans.registry import QUERIES, SQL, Query
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled error rates of clip transcripts against two references."""
+    return text_queries.score_totals(spark, d)
