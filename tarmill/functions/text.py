@@ -39,6 +39,13 @@ def normalise(c: Column) -> Column:
     return F.trim(t)
 
 
+def normalise_each(c: Column) -> Column:
+    """normalise() of every string of an array, null strings as empty; they are joined for the one part that isn't JVM-side."""
+    whole = nfc(F.array_join(F.transform(c, lambda t: F.coalesce(t, F.lit(""))), "\u001e"))
+    each = F.transform(F.split(whole, "\u001e"), lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")))
+    return F.when(F.size(c) > 0, each).when(c.isNotNull(), F.array().cast("array<string>"))
+
+
 def words(c: Column) -> Column:
     """The words of a normalised text; none of an empty one."""
     return F.filter(F.split(c, " "), lambda w: w != "")

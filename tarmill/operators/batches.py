@@ -73,9 +73,14 @@ def choices(words: Column, options: Column) -> Column:
 
     options: an array of arrays as long as words; one option or none leaves the word.
     """
-    several = F.transform(options, lambda o: (F.size(o) > 1).cast("int"))
-    number = lambda i: F.aggregate(F.slice(several, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b)
-    return F.array_join(F.transform(words, lambda w, i: F.when(F.size(options[i]) > 1, F.concat(F.lit("["), number(i).cast("string"), F.lit("]"))).otherwise(w)), " ")
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("line"))
+
+    def add(acc: Column, z: Column) -> Column:
+        n = acc["n"] + (F.size(z["o"]) > 1).cast("int")
+        w = F.when(F.size(z["o"]) > 1, F.concat(F.lit("["), n.cast("string"), F.lit("]"))).otherwise(z["w"])
+        return F.struct(n.alias("n"), F.concat(acc["line"], F.when(acc["line"] == "", "").otherwise(" "), w).alias("line"))
+
+    return F.aggregate(F.zip_with(words, options, lambda w, o: F.struct(w.alias("w"), o.alias("o"))), start, add, lambda acc: acc["line"])
 
 
 def block_sample(df: DataFrame, order: str, session: Column, block: int, seed: int = 2026) -> DataFrame:

@@ -19,7 +19,9 @@ def percent(a: Column, b: Column, places: int = 3) -> Column:
 def slots(alignment: Column, dial: Column) -> Column:
     """Alternatives of each aligned word: its dialect and its standard words, a plus sign separating merged ones. Without an
     alignment, every dialect word is a slot of its own."""
-    given = F.transform(alignment, lambda a: F.array(text.words(text.normalise(a["dial"])), text.words(text.normalise(F.replace(a["std"], F.lit("+"), F.lit(" "))))))
+    a = text.normalise_each(F.transform(alignment, lambda a: a["dial"]))
+    b = text.normalise_each(F.transform(alignment, lambda a: a["std"]))  # a plus sign becomes a space like other signs
+    given = F.zip_with(a, b, lambda x, y: F.array(text.words(x), text.words(y)))
     return F.coalesce(given, F.transform(dial, lambda w: F.array(F.array(w), F.array(w))))
 
 

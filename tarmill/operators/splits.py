@@ -5,11 +5,13 @@ Random choices are orders of a seeded hash, so they are the same at every run an
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarmill.functions import text
+from tarmill.runtime import cut
 
 # Borders of the length bins, in seconds.
 EDGES = [0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30.001]
@@ -108,8 +110,7 @@ def back_fill(spares: DataFrame, missing: DataFrame, group: list[str], bin_: str
     One group (a category) is one task: what a bin takes depends on the bins before it. Only as many spares of each bin as
     could ever be used are sent: those within the group's whole shortfall, in seeded order.
     """
-    import pandas as pd
-
+    missing = cut(missing, "missing")
     need = missing.groupBy(*group).agg(F.sum("missing").alias("__need"))
     w = Window.partitionBy(*group, bin_).orderBy(shuffled("id", seed=seed), "id").rowsBetween(Window.unboundedPreceding, -1)
     x = spares.join(F.broadcast(need), group).withColumn("__b", F.coalesce(F.sum(amount).over(w), F.lit(0.0))).where(F.col("__b") < F.col("__need"))
@@ -131,6 +132,7 @@ def back_fill(spares: DataFrame, missing: DataFrame, group: list[str], bin_: str
             pool = pool.drop(index=used)
         return pd.DataFrame(out, columns=["id", "for_bin"])
 
+    x = cut(x, "spares")
     return x.groupBy(*group).cogroup(missing.groupBy(*group)).applyInPandas(fill, f"id {dict(spares.dtypes)['id']}, for_bin int")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,11 +162,7 @@ def moved(pairs: DataFrame, key: list[str], least: float = 0.8, most: float = 0.
 
     The other words of a line meet as an array, so a line, not a table, is compared with itself.
     """
-    import pandas as pd
-
     def check(s: pd.Series, d: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
         fold = str.maketrans("ąęįų", "aeiu")
         sim = lambda a, b: SequenceMatcher(None, a.translate(fold), b.translate(fold)).ratio()
         out = []

@@ -25,7 +25,7 @@ def normal(v: Column) -> Column:
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 1, exclude_same: bool = True) -> DataFrame:
-    """(key, at, other, sim): for each query, its k nearest rows by cosine, in order; ties go to the lesser key.
+    """(key, nth, other, sim): for each query, its k nearest rows by cosine, in order; ties go to the lesser key.
 
     The stated queries are searched against all rows in blocks of bounded size: each block is broadcast, every task
     multiplies its rows with it and keeps k candidates for each query, and the candidates are merged by a window over
@@ -35,7 +35,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     q = queries.where(F.size(vector) > 0).select(F.col(key).cast("string"), F.transform(vector, lambda x: x.cast("double")))
     width = q.select(F.size(q.columns[1])).first()
     if width is None:
-        return spark.createDataFrame([], f"{key} string, at int, other string, sim double")
+        return spark.createDataFrame([], f"{key} string, nth int, other string, sim double")
     blocks = max(1, -(-q.count() * width[0] * 8 // BLOCK_BYTES))
     r = rows.where(F.size(vector) > 0).select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vector"))
     out = None
@@ -68,8 +68,36 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
 
         found = r.mapInPandas(search, "key string, other string, sim double")
         out = found if out is None else out.unionByName(found)
-    at = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "other"))
-    return out.withColumn("at", at).where(F.col("at") <= k).select(F.col("key").alias(key), "at", "other", "sim")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "other"))
+    return out.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("key").alias(key), "nth", "other", "sim")
+
+
+def most_similar(rows: DataFrame, held: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, sim): for each row, its greatest cosine with any held vector. Held vectors are broadcast in blocks of bounded size,
+    one pass over the rows for each; the maxima of the passes are combined by key."""
+    spark = rows.sparkSession
+    h = held.where(F.size(vector) > 0).select(F.transform(vector, lambda x: x.cast("double")).alias("v"), F.xxhash64(key).alias("k"))
+    first = h.select(F.size("v")).first()
+    r = rows.where(F.size(vector) > 0).select(F.col(key), F.col(vector).alias("vector"))
+    if first is None:
+        return r.select(key, F.lit(-1.0).alias("sim"))
+    blocks = max(1, -(-h.count() * first[0] * 8 // BLOCK_BYTES))
+    out = None
+    for b in range(blocks):
+        m = np.array([x[0] for x in h.where(F.pmod("k", F.lit(blocks)) == b).select("v").collect()], np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        shared = spark.sparkContext.broadcast(m)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    v = np.array(pdf["vector"].tolist(), np.float64)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    yield pd.DataFrame({key: pdf[key], "sim": (v @ shared.value.T).max(1)})
+
+        got = r.mapInPandas(search, f"{key} {dict(rows.dtypes)[key]}, sim double")
+        out = got if out is None else out.unionByName(got)
+    return out if blocks == 1 else out.groupBy(key).agg(F.max("sim").alias("sim"))
 
 
 def purity(pairs: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -90,7 +90,7 @@ def _known(c: str) -> str:
 
 
 @query(rf"""
-with lex as {LEXICON_SQL}, w as (select distinct dial, std from (select unnest(alignment) as a, a.dial as dial, a.std as std from {LAYERS_SQL})),
+with lex as {LEXICON_SQL}, w as (select distinct a.dial as dial, a.std as std from (select unnest(alignment) as a from {LAYERS_SQL})),
   t as (select dial, std, std in (select word from lex) as known, translate(std, 'ąęįų', 'aeiu') as s, translate(dial, 'ąęįų', 'aeiu') as e,
     coalesce(list_max(list_filter(range(least(length(dial), length(std)) + 1), lambda k: left(dial, k) = left(std, k))), 0) as p from w)
 select case when dial = std then case when known then 'same' else 'kept' end when s = dial or s = e then 'nasal'
@@ -116,8 +116,8 @@ def lexicon_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with c as (select dial as form, std, count(*) as k from {WORDS_SQL} group by 1, 2),
-  r as (select *, sum(k) over (partition by form) as n, row_number() over (partition by form order by k desc, std = form desc, std) as at from c)
-select form, n::bigint as n, std, round(k / n, 3) as share, case when k / n >= 0.9 and std = form then 'keep' when k / n >= 0.9 then 'std' else 'ctx' end as decision from r where at = 1""")
+  r as (select *, sum(k) over (partition by form) as n, row_number() over (partition by form order by k desc, std = form desc, std) as nth from c)
+select form, n::bigint as n, std, round(k / n, 3) as share, case when k / n >= 0.9 and std = form then 'keep' when k / n >= 0.9 then 'std' else 'ctx' end as decision from r where nth = 1""")
 def majority_map(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.vote(word_pairs(spark, d))
 
@@ -183,8 +183,8 @@ MAPS_SQL = f"""
   rc as (select dial as word, std, count(*) as k from {WORDS_SQL} where tier = 'gold' group by 1, 2),
   rv as (select word, list(std order by k desc, std) as c from rc group by word),
   lc as (select dial as word, std, count(*) as k from {WORDS_SQL} where tier = 'perclip' group by 1, 2),
-  lr as (select *, sum(k) over (partition by word) as n, row_number() over (partition by word order by k desc, std = word desc, std) as at from lc),
-  lv as (select word, std, k / n < 0.9 as ctx from lr where at = 1)"""
+  lr as (select *, sum(k) over (partition by word) as n, row_number() over (partition by word order by k desc, std = word desc, std) as nth from lc),
+  lv as (select word, std, k / n < 0.9 as ctx from lr where nth = 1)"""
 
 
 @query(f"""
@@ -303,7 +303,7 @@ def _places(c: Column) -> Column:
 def marked_dialect(spark: SparkSession, d: str) -> DataFrame:
     """Queue texts with the words to repair in angle brackets."""
     x = table(spark, d, "std_queue").select("id", text.tokens(F.col("dial")).alias("w"), F.coalesce("fix", F.array().cast("array<int>")).alias("f")).distinct()
-    return x.select("id", batches.marked("w" if False else F.col("w"), F.col("f")).alias("marked"))
+    return x.select("id", batches.marked(F.col("w"), F.col("f")).alias("marked"))
 
 
 @query(f"""select id, array_to_string([case when list_contains(f, i - 1) then '[' || len(list_filter(range(i), lambda k: list_contains(f, k))) || ']' else w[i] end for i in range(1, len(w) + 1)], ' ') as line
@@ -361,7 +361,7 @@ def ordered_rewrites(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with r as (select *, case tier when 'gold' then 0 when 'perclip' then 1 else 2 end as rank from (select distinct id, tier, dial, std from layers))
-select id, dial, std, tier from (select *, row_number() over (partition by id order by rank, dial, std) as at from r) where at = 1""")
+select id, dial, std, tier from (select *, row_number() over (partition by id order by rank, dial, std) as nth from r) where nth = 1""")
 def assembled_layer(spark: SparkSession, d: str) -> DataFrame:
     """One record an id: from the gold tier if it is there, else perclip, else silver."""
     x = table(spark, d, "layers").select("id", "tier", "dial", "std").distinct()
@@ -412,9 +412,9 @@ def score_speaker_mean(spark: SparkSession, d: str) -> DataFrame:
 BOOT_SQL = """
 with a as (select left(id, 7) as spk, sum(len(alignment))::bigint as w, sum(len(list_filter(alignment, lambda z: z.tag <> 'same')))::bigint as e
     from (select distinct id, alignment from layers where alignment is not null) group by 1),
-  k as (select spk, e, w, row_number() over (order by spk) - 1 as at, count(*) over () as n from a),
-  draw as (select rep, ('0x' || substr(md5('2026-' || rep || '-' || k), 1, 12))::bigint % n as at from (select unnest(range(400)) as rep), (select n, unnest(range(n)) as k from (select max(n) as n from k))),
-  v as (select rep, 100 * sum(e) / sum(w) as v from draw join k using (at) group by rep), s as (select list(v order by v) as v from v)
+  k as (select spk, e, w, row_number() over (order by spk) - 1 as nth, count(*) over () as n from a),
+  draw as (select rep, ('0x' || substr(md5('2026-' || rep || '-' || k), 1, 12))::bigint % n as nth from (select unnest(range(400)) as rep), (select n, unnest(range(n)) as k from (select max(n) as n from k))),
+  v as (select rep, 100 * sum(e) / sum(w) as v from draw join k using (nth) group by rep), s as (select list(v order by v) as v from v)
 select round(v[floor(0.025 * len(v))::int + 1], 3) as low, round(v[floor(0.975 * len(v))::int + 1], 3) as high from s"""
 
 
