@@ -18,6 +18,7 @@ EITHER = StructType([StructField("cost", LongType()), StructField("per", ArrayTy
 _BITS = 15
 _SUB, _DEL, _INS = (1 << 3 * _BITS) + (1 << 2 * _BITS), (1 << 3 * _BITS) + (1 << _BITS), (1 << 3 * _BITS) + 1
 _MASK = (1 << _BITS) - 1
+LONG = 48  # words of a hypothesis beyond which a pair is computed alone
 _WIDEST = 1 << 22  # cells of one state array
 
 
@@ -28,13 +29,40 @@ def _numbers(lists: list[list[str]], width: int, pad: int, number: dict[str, int
     return out
 
 
+def _one(a: list[str], b: list[str]) -> int:
+    """The last state of one pair; for long texts, whose rows are too few to fill arrays."""
+    prev = [j * _INS for j in range(len(b) + 1)]
+    for x in a:
+        left = prev[0] + _DEL
+        cur = [left]
+        add = cur.append
+        diagonal = prev[0]
+        for y, up in zip(b, prev[1:]):
+            if x == y:
+                left = diagonal
+            else:
+                left += _INS
+                if up + _DEL < left:
+                    left = up + _DEL
+                if diagonal + _SUB < left:
+                    left = diagonal + _SUB
+            diagonal = up
+            add(left)
+        prev = cur
+    return prev[-1]
+
+
 def edit_counts(refs: list[list[str]], hyps: list[list[str]]) -> np.ndarray:
     """(rows, 4): cost, substitutions, deletions and insertions of each pair. Equal words are always paired where they meet."""
     n, m = np.array([len(r) for r in refs], int), np.array([len(h) for h in hyps], int)
     out = np.zeros((len(refs), 4), np.int64)
     if len(refs) and max(n.max(), m.max()) > _MASK:
         raise ValueError(f"a text of more than {_MASK} words")
+    for r in np.flatnonzero(m > LONG):
+        last = _one(refs[r], hyps[r])
+        out[r] = last >> 3 * _BITS, last >> 2 * _BITS & _MASK, last >> _BITS & _MASK, last & _MASK
     order = np.lexsort((m, n))
+    order = order[m[order] <= LONG]
     at = 0
     while at < len(order):
         end = at + 1
@@ -63,44 +91,39 @@ def edit_counts(refs: list[list[str]], hyps: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _cost(a: list[str], b: list[str]) -> int:
-    """Plain edit distance of two short word lists."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(diagonal + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
 def either(slots: list[list[list[str]]], hyp: list[str]) -> tuple[int, list[int]]:
     """(cost, errors of each slot) of the best alignment of hyp with one alternative of every slot.
 
     A slot takes a run of hypothesis words at the least edit distance over its alternatives, or an extra word at cost one.
     Ties go to the shortest run, then to the earliest end; words before the first slot count for it, those after the last for
-    that. A run of more than two words can't help a slot of single-word alternatives.
+    that. A state is the cost so far and where the slot's run began; an alternative's words are passed one by one, so the work
+    is slots x words x alternatives.
     """
     n, m = len(slots), len(hyp)
+    wide = m + 1  # a state is cost * wide + (m - start): of equal costs the later start is less
     best = list(range(m + 1))
     trail: list[list[tuple[int, int]]] = []
     for alternatives in slots:
-        single = all(len(a) <= 1 for a in alternatives)
-        words = {a[0] for a in alternatives if a}
-        empty = any(not a for a in alternatives)
-        row, from_ = [0] * (m + 1), [(0, 0)] * (m + 1)
-        for j in range(m + 1):
-            low, arg = best[j] + min(len(a) for a in alternatives), (0, min(len(a) for a in alternatives))
-            for k in range(1, (min(j, 2) if single else j) + 1):
-                seg = hyp[j - k : j]
-                if single:
-                    c = min(k if empty else k + 1, k - 1 if words.intersection(seg) else k if words else k + 1)
-                else:
-                    c = min(_cost(a, seg) for a in alternatives)
-                if best[j - k] + c < low:
-                    low, arg = best[j - k] + c, (k, c)
-            if j and row[j - 1] + 1 < low:
-                low, arg = row[j - 1] + 1, (-1, 1)
-            row[j], from_[j] = low, arg
+        low: list[int] | None = None
+        for words in {tuple(a) for a in alternatives}:
+            cur = [c * wide + m - j for j, c in enumerate(best)]
+            for w in words:
+                left = cur[0] + wide
+                nxt = [left]
+                diagonal = cur[0]
+                for h, up in zip(hyp, cur[1:]):
+                    left = min(left + wide, up + wide, diagonal if h == w else diagonal + wide)
+                    diagonal = up
+                    nxt.append(left)
+                cur = nxt
+            low = cur if low is None else [min(x, y) for x, y in zip(low, cur)]
+        row, from_ = [], []
+        for j, x in enumerate(low or []):
+            cost, start = x // wide, m - x % wide
+            if j and row[-1] + 1 < cost:
+                row.append(row[-1] + 1), from_.append((-1, 1))
+            else:
+                row.append(cost), from_.append((j - start, cost - best[start]))
         best = row
         trail.append(from_)
     end = min(range(m + 1), key=lambda j: best[j] + m - j)

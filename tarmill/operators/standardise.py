@@ -165,6 +165,13 @@ def moved(pairs: DataFrame, key: list[str], least: float = 0.8, most: float = 0.
     def check(s: pd.Series, d: pd.Series) -> pd.Series:
         fold = str.maketrans("ąęįų", "aeiu")
         sim = lambda a, b: SequenceMatcher(None, a.translate(fold), b.translate(fold)).ratio()
+        seen: dict[str, frozenset] = {}
+
+        def letters(w: str) -> frozenset:  # letters that one word lacks can't match
+            if w not in seen:
+                seen[w] = frozenset(w.translate(fold))
+            return seen[w]
+
         out = []
         for std, dial in zip(s, d):
             std, dial, found = list(std), list(dial), []
@@ -175,7 +182,8 @@ def moved(pairs: DataFrame, key: list[str], least: float = 0.8, most: float = 0.
                 if any(0 <= j < len(std) and std[j] == b and dial[j] != a for j in (i - 1, i + 1)):
                     found.append({"pos": i, "kind": "repeat"})
                     continue
-                far = own < most and max((sim(w, b) for w in set(dial) - {a}), default=0.0) >= least
+                near = (w for w in set(dial) - {a} if 2 * min(len(w) - len(letters(w) - letters(b)), len(b) - len(letters(b) - letters(w))) >= least * (len(w) + len(b)))
+                far = own < most and any(sim(w, b) >= least for w in near)
                 if far:
                     found.append({"pos": i, "kind": "maybe_moved" if short else "shifted"})
                 elif own < 0.45:
@@ -185,7 +193,7 @@ def moved(pairs: DataFrame, key: list[str], least: float = 0.8, most: float = 0.
 
     udf = F.pandas_udf(check, "array<struct<pos:int,kind:string>>")
     w = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "dial", "std"))).alias("w"))
-    x = w.withColumn("f", udf(F.transform("w", lambda z: z["std"]), F.transform("w", lambda z: z["dial"])))
+    x = w.repartition(*key).withColumn("f", udf(F.transform("w", lambda z: z["std"]), F.transform("w", lambda z: z["dial"])))
     y = x.select(*key, "w", F.explode("f").alias("f"))
     at = lambda c: F.element_at("w", F.col("f.pos") + 1)[c]
     return y.select(*key, F.col("f.pos").alias("pos"), at("dial").alias("dial"), at("std").alias("std"), F.col("f.kind").alias("kind"))
