@@ -42,8 +42,8 @@ def age_group(c: Column) -> Column:
 
 
 def region(c: Column) -> Column:
-    """A region as its lower-case name without accents and blanks; null where nothing is left."""
-    return F.nullif(F.translate(F.lower(trimmed(c)), ACCENTED, PLAIN), F.lit(""))
+    """A region as its lower-case name without accents, composed or not, and blanks; null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.translate(F.lower(trimmed(c)), ACCENTED, PLAIN), r"\p{M}+", ""), F.lit(""))
 
 
 def side(role: Column) -> Column:
