@@ -180,8 +180,8 @@ def served(df: DataFrame, key: str, ask, schema: str, tries: int = 4, wait: floa
                     except Exception:  # noqa: BLE001
                         if k + 1 < tries:
                             time.sleep(wait * (k + 1))
-                out.append({key: row[key], **got})
-            yield pd.DataFrame(out, columns=names)
+                out.append(dict.fromkeys(names) | {key: row[key], **got})
+            yield pd.DataFrame({n: pd.Series([r[n] for r in out], dtype=object) for n in names})
 
     return df.mapInPandas(run, schema)
 
