@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def counts(events: DataFrame, time: str, group: str, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Rows and their value sums by tumbling window and group; rows later than the watermark are dropped by a stream."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     x = events.withWatermark(time, late) if events.isStreaming else events
     g = x.groupBy(F.window(time, width).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("start"), group, "n", "total")
