@@ -254,6 +254,8 @@ def distance(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if not a or not b:
+        return len(a) + len(b)
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
