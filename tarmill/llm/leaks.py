@@ -192,7 +192,7 @@ def _search(df: DataFrame, key: str, text: str, items: list[tuple[int, str | Non
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(key, item_key) for each document that holds a passage of an item: at least 12 successive words of the item with at
-    most one in six changed, added or missing.
+    most one in six changed, added or missing. Words at the ends of a passage may be the changed ones.
 
     Null and empty texts hold nothing; items of fewer than 12 words are never found; repeated texts each count. Held-out
     text is broadcast in shards of bounded size, one pass over the corpus for each; there is no shuffle.

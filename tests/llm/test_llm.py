@@ -251,7 +251,7 @@ def test_leaks(spark):
     got = sorted(map(tuple, leaks.leaked(df, items).collect()))
     brute = lambda t: leaks.passage(*[(lambda n: (np.array([n.setdefault(x, len(n)) for x in item]), np.array([n.get(x, -1) for x in leaks.words(t)])))({})][0])
     want = sorted((k, 70) for k, t in docs if t and brute(t))
-    assert got == want and {k for k, _ in got} == {1, 3, 5, 8, 9, 10}
+    assert got == want and {k for k, _ in got} == {1, 2, 3, 5, 8, 9, 10}  # 2: eleven words and a changed one
     assert sorted(map(tuple, leaks.leaked(df, items, shard_chars=60).collect())) == want
     assert leaks.leaked(df, items.limit(0)).count() == 0 and leaks.leaked(df.limit(0), items).count() == 0
 
@@ -273,7 +273,7 @@ def test_winnow_guarantee(a, b):
 def test_levels(spark):
     rnd = random.Random(5)
     easy = lambda: " ".join(" ".join(rnd.choice(["jis", "ji", "namas", "bus", "eina", "kur"]) for _ in range(5)).capitalize() + "." for _ in range(20))
-    hard = lambda: " ".join((", kadangi ".join(" ".join(f"hiperparadigmizavimas{rnd.randint(0, 3000)}ais".replace(str(k), "o") for k in range(6)) for _ in range(4))).capitalize() + "." for _ in range(5))
+    hard = lambda: " ".join((", kadangi ".join(" ".join("hiperparadigm" + "".join(rnd.choice("aeiu") for _ in range(9)) for k in range(6)) for _ in range(4))).capitalize() + "." for _ in range(5))
     rows = [(k, easy() if k % 2 else hard()) for k in range(80)] + [(100, None), (101, ""), (102, "trumpas"), (103, easy() + " " + hard()[:150])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit("x"))
     g = spark.createDataFrame([(k, (1 if k % 2 else 5), "r1") for k in range(40)] + [(1, 5, "r2"), (1, None, "r3"), (2, 9, "r1"), (3, 1, "r1")], "doc_id long, level int, rater string")
