@@ -80,8 +80,7 @@ def dose_order(speakers: DataFrame, hours: str = "hours", seed: int = 2026) -> D
 
 def dose_prefix(order: DataFrame, doses: list[float]) -> DataFrame:
     """(dose, speakers, hours): the shortest prefix of the order that reaches each dose; doses beyond the total have no row."""
-    d = order.sparkSession.createDataFrame([(float(x),) for x in doses], "dose double")
-    hit = order.crossJoin(F.broadcast(d)).where(F.col("cum_hours") >= F.col("dose"))  # doses are a fixed handful
+    hit = order.withColumn("dose", F.explode(F.array(*[F.lit(float(x)) for x in doses]))).where(F.col("cum_hours") >= F.col("dose"))
     return hit.groupBy("dose").agg(F.min("place").alias("speakers"), F.min_by("cum_hours", "place").alias("hours"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -63,14 +62,12 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
 
 
 def local_path(uri: str) -> str:
-    """The path of a file:// URI, for folders that are mounted on every machine."""
+    """The path of a file:// URI, for folders that are mounted on every machine; other file systems are refused."""
+    if "://" in uri and not uri.startswith("file://"):
+        raise ValueError(f"{uri} is not a mounted folder")
     return uri[len("file://"):] if uri.startswith("file://") else uri[len("file:"):] if uri.startswith("file:") else uri
 
 
-def exists_local(uri: str) -> bool:
-    return os.path.isdir(local_path(uri))
-
-
 def ranked(df: DataFrame, keys: list[str], order: Column, name: str = "rank", buckets: int = 64) -> DataFrame:
     """row_number over keys in the order of a hash, with no task that holds a whole group.
 

@@ -139,3 +139,20 @@ def test_tables(spark):
     assert df.limit(1).select(tables.signed(F.lit(-1.5))).first()[0] == "−1.50"
     assert tables.markdown(df.limit(1)).splitlines()[2] == "| 12.5 | 8 |"
     assert "\\%" in tables.latex_macros({"a": "5%"})
+
+
+def test_review(spark):
+    from tarmill.operators import review
+
+    d = spark.createDataFrame([("a", "keep", None, None), ("b", "std", "x+y", None), ("c", "merge", "x+y", None), ("d", "ctx", None, ["x", "x"]), ("e", None, None, None), ("c", "merge", "xy", None)], "word string, decision string, std string, cands array<string>")
+    got = sorted((r["word"], r["error"]) for r in review.decision_errors(d).collect())
+    assert got == [("b", "bad_std"), ("c", "bad_merge"), ("c", "repeated"), ("d", "few_candidates"), ("e", "unknown")]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    review.require_subset(ids("a"), ids("a", "b"), "id")
+    review.require_equal(ids("a", "b"), ids("b", "a"))
+    for bad in (lambda: review.require_subset(ids("c"), ids("a"), "id"), lambda: review.require_unique(ids("a", "a"), "id"), lambda: review.require_equal(ids("a"), ids("a", "a"))):
+        with pytest.raises(review.ContractError):
+            bad()
+    p = spark.createDataFrame([("spon/S/R/F3/x.wav",), ("spon/S/R/x.wav",), ("read/S/R/F3/x.wav",), ("spon/S/Q/F3/x.wav",)], "p string")
+    out = [r[0] for r in p.select(review.path_codes(F.col("p"), {"F": "female"}, {"3": "18-60"}, {"R": "radio"})).collect()]
+    assert tuple(out[0]) == ("female", "18-60", "radio") and out[1:] == [None, None, None]
