@@ -100,37 +100,19 @@ def either(slots: list[list[list[str]]], hyp: list[str]) -> tuple[int, list[int]
     is slots x words x alternatives.
     """
     n, m = len(slots), len(hyp)
-    wide = m + 1  # a state is cost * wide + (m - start): of equal costs the later start is less
-    best = list(range(m + 1))
-    trail: list[list[tuple[int, int]]] = []
+    step = _slot_arrays if m > LONG else _slot_lists
+    number: dict[str, int] = {}
+    words = np.array([number.setdefault(h, len(number)) for h in hyp], np.int64) if m > LONG else hyp
+    best = np.arange(m + 1) if m > LONG else list(range(m + 1))
+    trail = []
     for alternatives in slots:
-        low: list[int] | None = None
-        for words in {tuple(a) for a in alternatives}:
-            cur = [c * wide + m - j for j, c in enumerate(best)]
-            for w in words:
-                left = cur[0] + wide
-                nxt = [left]
-                diagonal = cur[0]
-                for h, up in zip(hyp, cur[1:]):
-                    left = min(left + wide, up + wide, diagonal if h == w else diagonal + wide)
-                    diagonal = up
-                    nxt.append(left)
-                cur = nxt
-            low = cur if low is None else [min(x, y) for x, y in zip(low, cur)]
-        row, from_ = [], []
-        for j, x in enumerate(low or []):
-            cost, start = x // wide, m - x % wide
-            if j and row[-1] + 1 < cost:
-                row.append(row[-1] + 1), from_.append((-1, 1))
-            else:
-                row.append(cost), from_.append((j - start, cost - best[start]))
-        best = row
-        trail.append(from_)
+        best, run, cost = step(best, {tuple(a) for a in alternatives}, words, number)
+        trail.append((run, cost))
     end = min(range(m + 1), key=lambda j: best[j] + m - j)
     per = [0] * n
     i, j = n, end
     while i:
-        k, c = trail[i - 1][j]
+        k, c = int(trail[i - 1][0][j]), int(trail[i - 1][1][j])
         per[i - 1] += c
         if k < 0:
             j -= 1
@@ -139,13 +121,91 @@ def either(slots: list[list[list[str]]], hyp: list[str]) -> tuple[int, list[int]
     if n:
         per[0] += j
         per[-1] += m - end
-    return best[end] + m - end, per
+    return int(best[end]) + m - end, per
+
+
+def _slot_lists(best: list[int], alternatives: set[tuple[str, ...]], hyp: list[str], _: dict) -> tuple[list[int], list[int], list[int]]:
+    """(best costs, run lengths, costs) after one slot; run -1 is an extra word."""
+    m = len(hyp)
+    wide = m + 1  # a state is cost * wide + (m - start): of equal costs the later start is less
+    low: list[int] | None = None
+    for words in alternatives:
+        cur = [c * wide + m - j for j, c in enumerate(best)]
+        for w in words:
+            left = cur[0] + wide
+            nxt = [left]
+            diagonal = cur[0]
+            for h, up in zip(hyp, cur[1:]):
+                left = min(left + wide, up + wide, diagonal if h == w else diagonal + wide)
+                diagonal = up
+                nxt.append(left)
+            cur = nxt
+        low = cur if low is None else [min(x, y) for x, y in zip(low, cur)]
+    row, run, costs = [], [], []
+    for j, x in enumerate(low or []):
+        cost, start = x // wide, m - x % wide
+        if j and row[-1] + 1 < cost:
+            row.append(row[-1] + 1), run.append(-1), costs.append(1)
+        else:
+            row.append(cost), run.append(j - start), costs.append(cost - best[start])
+    return row, run, costs
+
+
+def _slot_arrays(best: np.ndarray, alternatives: set[tuple[str, ...]], hyp: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_slot_lists for long hypotheses, a whole row of states at a time."""
+    m = len(hyp)
+    wide = m + 1
+    at = np.arange(m + 1)
+    ramp = at * wide
+    low = None
+    for words in alternatives:
+        cur = best * wide + m - at
+        for w in words:
+            nxt = cur + wide
+            nxt[1:] = np.minimum(nxt[1:], cur[:-1] + np.where(hyp == number.get(w, -1), 0, wide))
+            cur = np.minimum.accumulate(nxt - ramp) + ramp
+        low = cur if low is None else np.minimum(low, cur)
+    cost, start = low // wide, m - low % wide
+    row = np.minimum.accumulate(cost - at) + at
+    extra = row < cost
+    return row, np.where(extra, -1, at - start), np.where(extra, 1, cost - best[start])
 
 
 def _lists(s: pd.Series) -> list[list[str]]:
     return [[] if x is None else list(x) for x in s]
 
 
+def distance(a: str, b: str, most: int) -> int:
+    """Edits between a and b, or most + 1 if there are more; bit-parallel over the characters of a."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if not a or not b:
+        return len(a) + len(b)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, score = full, 0, len(a)
+    for j, c in enumerate(b):
+        eq = peq.get(c, 0)
+        x = eq | minus
+        d = ((((eq & plus) + plus) ^ plus) | x) & full
+        up, down = minus | (~(d | plus) & full), plus & d
+        score += bool(up & top) - bool(down & top)
+        if score - (len(b) - 1 - j) > most:
+            return most + 1
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        plus, minus = down | (~(d | up) & full), up & d
+    return score
+
+
+@F.pandas_udf(LongType())
+def _chars_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance(x, y, max(len(x), len(y))) for x, y in zip(a, b)], dtype="Int64")
+
+
 @F.pandas_udf(COUNTS)
 def _counts_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in batches:
@@ -167,3 +227,9 @@ def word_edits(ref: Column, hyp: Column) -> Column:
 def either_edits(slots: Column, hyp: Column) -> Column:
     """struct(cost, per) of an array of slots (arrays of alternatives, arrays of words) and a word array."""
     return _either_udf(slots, hyp)
+
+
+def char_edits(a: Column, b: Column, long: int = 400) -> Column:
+    """Edit distance in characters: built in for short texts, bit-parallel for long ones."""
+    short = (F.length(a) <= long) & (F.length(b) <= long)
+    return F.when(short, F.levenshtein(a, b).cast("long")).otherwise(_chars_udf(F.when(~short, a), F.when(~short, b)))

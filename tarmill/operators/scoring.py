@@ -31,7 +31,9 @@ def clip_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     refs: (id, dial, std, alignment); hyps: (id, hyp), one row an id. A reference without a hypothesis scores as empty and is
     flagged; null texts count as empty. spk is the speaker part of a dialect id, else the id itself.
     """
-    x = refs.join(hyps.select("id", "hyp"), "id", "left")
+    # a stated number of partitions: alignment costs far more than the rows' bytes let the optimizer expect
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = refs.repartition(n, "id").join(hyps.select("id", "hyp").repartition(n, "id"), "id", "left")
     x = x.select(
         "id", F.col("hyp").isNull().alias("missing"), "alignment",
         text.normalise(F.col("dial")).alias("d"), text.normalise(F.col("std")).alias("s"), text.normalise(F.col("hyp")).alias("h"),
@@ -44,7 +46,7 @@ def clip_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
         "id", F.when(text.is_dialect_id(F.col("id")), text.speaker_of(F.col("id"))).otherwise(F.col("id")).alias("spk"),
         F.size("dw").cast("long").alias("n"), F.size("sw").cast("long").alias("n_std"), F.col("ed.cost").alias("e_dial"), F.col("es.cost").alias("e_std"),
         F.col("ee.cost").alias("e_either"), F.col("ed.sub").alias("sub"), F.col("ed.del").alias("del"), F.col("ed.ins").alias("ins"),
-        F.length("d").cast("long").alias("chars"), F.levenshtein("d", "h").cast("long").alias("e_char"),
+        F.length("d").cast("long").alias("chars"), align.char_edits(F.col("d"), F.col("h")).alias("e_char"),
         F.transform(F.arrays_zip(tag.alias("tag"), F.col("ee.per").alias("err")), lambda z: F.struct(z["tag"].alias("tag"), z["err"].alias("err"))).alias("tags"), "missing",
     )
 
