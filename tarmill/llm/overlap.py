@@ -23,6 +23,7 @@ import pyarrow.feather
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmill.functions.align import distance
 from tarmill.llm import codes, forms
 from tarmill.runtime import cut, fresh, local_path
 
@@ -248,32 +249,6 @@ def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray,
     return t[keep], e[keep]
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edits between a and b, or most + 1 if there are more; bit-parallel over the characters of a."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not a or not b:
-        return len(a) + len(b)
-    peq: dict[str, int] = {}
-    for i, c in enumerate(a):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = peq.get(c, 0)
-        x = eq | minus
-        d = ((((eq & plus) + plus) ^ plus) | x) & full
-        up, down = minus | (~(d | plus) & full), plus & d
-        score += bool(up & top) - bool(down & top)
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
-        up, down = (up << 1 | 1) & full, (down << 1) & full
-        plus, minus = down | (~(d | up) & full), up & d
-    return score
-
-
 # --- files of shards in the shared folder -----------------------------------------------------------------------------
 
 
