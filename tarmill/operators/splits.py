@@ -135,14 +135,16 @@ def back_fill(spares: DataFrame, missing: DataFrame, group: list[str], bin_: str
     return x.groupBy(*group).cogroup(missing.groupBy(*group)).applyInPandas(fill, f"id {dict(spares.dtypes)['id']}, for_bin int")
 
 
-def cluster_draw(rows: DataFrame, cluster: str, share: float, cap: int | None = None, seed: int = 2026) -> DataFrame:
-    """(cluster, size) of clusters drawn in seeded order until their rows reach the share of all; clusters beyond cap are passed
-    over. The window holds a row for each cluster."""
+def cluster_draw(rows: DataFrame, cluster: str, share: float, cap: int | None = None, cap_share: float | None = None, seed: int = 2026) -> DataFrame:
+    """(cluster, size) of clusters drawn in seeded order until their rows reach the share of all. Clusters of more than cap rows,
+    or of more than cap_share of all rows, are passed over; only the latter means the same at every size of the table. The
+    window holds a row for each cluster."""
     size = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     total = F.broadcast(size.agg(F.sum("size").alias("__all")))  # one row
-    x = size.where(F.col("size") <= cap) if cap is not None else size
+    x = (size.where(F.col("size") <= cap) if cap is not None else size).crossJoin(total)
+    x = x.where(F.col("size") <= cap_share * F.col("__all")) if cap_share is not None else x
     w = Window.orderBy(shuffled(cluster, seed=seed), cluster).rowsBetween(Window.unboundedPreceding, -1)
-    return x.crossJoin(total).withColumn("__b", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("__b") < share * F.col("__all")).select(cluster, "size")
+    return x.withColumn("__b", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("__b") < share * F.col("__all")).select(cluster, "size")
 
 
 def region_of_speaker(c: Column) -> Column:

@@ -209,11 +209,22 @@ with x as (select id, left(id, 9) as c from {CLIPS_SQL} where contains(id, '-'))
   o as (select c, size, coalesce(sum(size) over (order by {SHUFFLE.format('c')}, c rows between unbounded preceding and 1 preceding), 0) as b from s where size <= 400)
 select c as session, size from o, n where b < 0.1 * n""")
 def cluster_draw(spark: SparkSession, d: str) -> DataFrame:
-    """Whole sessions, of 400 clips at most, up to a tenth of all clips."""
+    """Whole sessions, of 400 clips at most, up to a tenth of all clips. The limit is that of its SQL and excludes more sessions
+    as the table grows; session_draw has none."""
     x = clips(spark, d).where(text.is_dialect_id(F.col("id"))).select(text.session_of(F.col("id")).alias("session"))
     return splits.cluster_draw(x, "session", 0.1, cap=400)
 
 
+@query(f"""
+with x as (select id, left(id, 9) as c from {CLIPS_SQL} where contains(id, '-')), s as (select c, count(*) as size from x group by c), n as (select sum(size) as n from s),
+  o as (select c, size, coalesce(sum(size) over (order by {SHUFFLE.format('c')}, c rows between unbounded preceding and 1 preceding), 0) as b from s)
+select c as session, size from o, n where b < 0.1 * n""")
+def session_draw(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sessions of any size up to a tenth of all clips."""
+    x = clips(spark, d).where(text.is_dialect_id(F.col("id"))).select(text.session_of(F.col("id")).alias("session"))
+    return splits.cluster_draw(x, "session", 0.1)
+
+
 @query(f"""
 with r as (select region, split_part(split_id, '.', 2) as side, count(*) as clips, sum(duration) / 3600 as hours from {IDS_SQL} join {CLIPS_SQL} c using (id) where contains(id, '-') group by 1, 2),
   k as (select distinct region as left_out from r where region is not null)

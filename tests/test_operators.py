@@ -156,3 +156,21 @@ def test_review(spark):
     p = spark.createDataFrame([("spon/S/R/F3/x.wav",), ("spon/S/R/x.wav",), ("read/S/R/F3/x.wav",), ("spon/S/Q/F3/x.wav",)], "p string")
     out = [r[0] for r in p.select(review.path_codes(F.col("p"), {"F": "female"}, {"3": "18-60"}, {"R": "radio"})).collect()]
     assert tuple(out[0]) == ("female", "18-60", "radio") and out[1:] == [None, None, None]
+
+
+def test_cluster_draw_of_any_table_size(spark):
+    def drawn(times, **limit):
+        rows = spark.range(10 * times).select(F.when(F.col("id") < 6 * times, "a").otherwise(F.concat(F.lit("b"), (F.col("id") % 4).cast("string"))).alias("c"))
+        return {r["c"] for r in splits.cluster_draw(rows, "c", 1.0, **limit).collect()}
+
+    for times in (4, 400):  # a session of more than 400 rows is drawn too, and a share excludes the same at every size
+        assert "a" in drawn(times) and len(drawn(times)) == 5
+        assert drawn(times, cap_share=0.5) == {"b0", "b1", "b2", "b3"}
+
+
+def test_session_draw_has_no_limit(spark, tmp_path):
+    from tarmill.plans import catalog
+
+    row = "'liepa3.dial' as dataset_id, 'A000001' as speaker_id, 'A' as region, 'male' as gender, '60+' as age_group, 1.0D as duration, 'a' as text_normalized, timestamp'2026-01-01' as recorded_at, timestamp'2026-01-01' as loaded_at"
+    spark.range(500).selectExpr("format_string('A00000101-%04d', id) as id", *row.split(", ")).write.parquet(str(tmp_path / "clips.parquet"))
+    assert [tuple(r) for r in catalog.queries()["session_draw"](spark, str(tmp_path)).collect()] == [("A00000101", 500)]
