@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarmill.runtime import cut, ranked
+
 #: Bytes of vectors that one broadcast block of the query side may hold.
 BLOCK_BYTES = 64_000_000
 
@@ -119,74 +121,132 @@ def leakage(rows: DataFrame, held: DataFrame, cluster: str, speaker: str) -> Dat
     )
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 2026) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, unit centroids); empty clusters are dropped."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        lab = (x @ c.T).argmax(1)
-        used, lab = np.unique(lab, return_inverse=True)
-        c = np.zeros((len(used), x.shape[1]))
-        np.add.at(c, lab, x)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    lab = (x @ c.T).argmax(1)
-    used, lab = np.unique(lab, return_inverse=True)
-    return lab, c[used]
+def closest(v: np.ndarray, c: np.ndarray, rows: int = 1024, block: int = 4096) -> np.ndarray:
+    """The centroid of greatest product with each vector, the first of equals, in blocks of bounded size."""
+    out = np.zeros(len(v), np.int64)
+    for i in range(0, len(v), rows):
+        part, best = v[i : i + rows], np.full(min(rows, len(v) - i), -np.inf)
+        for j in range(0, len(c), block):
+            sims = part @ c[j : j + block].T
+            at = sims.argmax(1)
+            top = sims[np.arange(len(at)), at]
+            better = top > best
+            best[better], out[i : i + rows][better] = top[better], at[better] + j
+    return out
 
 
 def average_linkage(c: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels after joining the nearest groups, by mean cosine distance, until none is nearer than the threshold."""
-    d = 1 - c @ c.T
-    np.fill_diagonal(d, np.inf)
-    size, lab, live = np.ones(len(c)), np.arange(len(c)), np.ones(len(c), bool)
-    while live.sum() > 1:
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        if d[i, j] > threshold:
+    """Labels after joining the nearest groups of unit vectors, by mean cosine distance, until none is nearer than the threshold.
+
+    The mean distance of two groups is that of their mean vectors, so chains of nearest neighbours need no matrix of all
+    pairs. Joining others never brings a group nearer, so one whose nearest is beyond the threshold is complete.
+    """
+    mean, size, up = np.array(c, np.float64), np.ones(len(c)), np.arange(len(c))
+    live, chain, start = np.ones(len(c), bool), [], 0
+    while True:
+        if not chain:
+            while start < len(c) and not live[start]:
+                start += 1
+            if start == len(c):
+                break
+            chain.append(start)
+        i = chain[-1]
+        sim = np.where(live, mean @ mean[i], -np.inf)
+        sim[i] = -np.inf
+        j = int(sim.argmax())
+        if len(chain) > 1 and sim[chain[-2]] >= sim[j] - 1e-12:  # equals must not lead round in a circle
+            j = chain[-2]
+        if 1 - sim[j] > threshold:
+            live[chain.pop()] = False
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            live[j], up[j] = False, i
+        else:
+            chain.append(j)
+    for i in range(len(c)):  # a group bears the number of its least member
+        up[i] = up[up[i]]
+    return np.unique(up, return_inverse=True)[1]
+
+
+#: Unit vectors are summed as whole multiples of this part, so that sums are the same in any order.
+_PART = 1 << 36
+
+
+def micro_clusters(x: DataFrame, micro: int, rounds: int = 25) -> dict[str, np.ndarray]:
+    """Unit centroids of each bucket: spherical k-means over all rows (__b, __o, __v of length one) with k = rows // micro, at
+    least two, begun with the first k rows in the order of the hash __o.
+
+    Each round sends the centroids to the tasks, which place their rows and add them up; sums meet by centroid. Rounds end
+    early once no centroid moves. Empty clusters are dropped. The driver holds the centroids.
+    """
+    spark = x.sparkSession
+    sizes = {r["__b"]: r["count"] for r in x.groupBy("__b").count().collect()}
+    if not sizes:
+        return {}
+    k = F.greatest(F.lit(2), F.floor(F.col("__n") / micro))
+    first = ranked(x, ["__b"], F.col("__o")).join(F.broadcast(x.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))), "__b").where(F.col("rank") <= k)
+
+    def by_bucket(found: DataFrame) -> dict[str, np.ndarray]:
+        t = found.toArrow()
+        b, at = np.array(t["b"].to_pylist(), object), t["at"].to_numpy()
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+        out = {}
+        for name in sizes:
+            own = np.flatnonzero(b == name)
+            m = v[own[np.argsort(at[own], kind="stable")]].astype(np.float64)
+            out[name] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        return out
+
+    c = by_bucket(first.select(F.col("__b").alias("b"), F.col("rank").cast("long").alias("at"), F.col("__v").alias("v")))
+    width = next(iter(c.values())).shape[1]
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(c)
+
+        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for pdf in batches:
+                for name, g in pdf.groupby("__b"):
+                    v = np.array(g["__v"].tolist())
+                    whole = np.rint(v * _PART).astype(np.int64)
+                    for i, j in enumerate(closest(v, shared.value[name])):
+                        if (old := sums.get((name, j))) is None:
+                            sums[name, j] = whole[i].copy()
+                        else:
+                            old += whole[i]
+            yield pd.DataFrame({"b": [n for n, _ in sums], "at": [j for _, j in sums], "v": list(sums.values())})
+
+        parts = x.select("__b", "__v").mapInPandas(add, "b string, at long, v array<long>")
+        total = F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0).cast("long"), width), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+        old, c = c, by_bucket(parts.groupBy("b", "at").agg(total.alias("v")))  # at most one part a task meets in a list
+        shared.destroy()
+        if all(np.array_equal(old[n], c[n]) for n in c):
             break
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        live[j] = False
-        lab[lab == j] = i
-    return np.unique(lab, return_inverse=True)[1]
+    return c
 
 
-def cluster(rows: DataFrame, key: str, vector: str, bucket: str, micro: int = 5, threshold: float = 0.3, most: int = 20_000, centroids: int = 3_000) -> DataFrame:
+def cluster(rows: DataFrame, key: str, vector: str, bucket: str, micro: int = 5, threshold: float = 0.3) -> DataFrame:
     """(key, cluster) by micro-clusters and average linkage within each bucket, labelled bucket-00000.
 
-    Centroids of a bucket are fitted on at most `most` of its rows, in the order of a hash, and are at most `centroids`, which
-    bounds the linkage; every row is then assigned to the nearest centroid of its bucket in a join on the bucket.
+    All rows take part: the micro-clusters of a bucket are a micro-th of its rows, whatever their number, and every row is in
+    the cluster of its nearest centroid. So the work grows as the square of a bucket's rows, and the centroids of all buckets
+    must fit a task and the driver.
     """
-    order = Window.partitionBy("__b", "__s").orderBy("__o")
-    x = rows.where(F.size(vector) > 0).select(F.col(key), F.col(bucket).cast("string").alias("__b"), F.transform(vector, lambda v: v.cast("double")).alias("__v"))
-    x = x.withColumns({"__o": F.xxhash64(key), "__s": F.pmod(F.xxhash64(key), F.lit(16))})
-    sample = x.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most // 16)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__o")
-        v = np.array(pdf["__v"].tolist())
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        _, c = spherical_kmeans(v, min(centroids, max(2, len(v) // micro)))
-        lab = average_linkage(c, threshold)
-        return pd.DataFrame({"__b": pdf["__b"].iloc[0], "c": [np.concatenate([[float(t)], row]).tolist() for t, row in zip(lab, c)]})
-
-    model = sample.select("__b", "__o", "__v").groupBy("__b").applyInPandas(fit, "__b string, c array<double>")
-    packed = model.groupBy("__b").agg(F.collect_list("c").alias("m"))  # at most `centroids` a bucket
-
-    @F.pandas_udf("int")
-    def place(v: pd.Series, m: pd.Series) -> pd.Series:
-        out = np.zeros(len(v), np.int64)
-        cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i, (a, b) in enumerate(zip(v, m)):
-            h = (len(b), float(b[0][1]), float(b[-1][-1]))
-            if h not in cached:
-                t = np.array([list(r) for r in b])
-                cached[h] = (t[:, 0], t[:, 1:])
-            lab, c = cached[h]
-            out[i] = int(lab[(c @ np.asarray(a)).argmax()])
-        return pd.Series(out)
-
-    y = x.join(F.broadcast(packed), "__b")  # buckets x centroids vectors
-    return y.select(key, F.concat_ws("-", "__b", F.format_string("%05d", place("__v", "m"))).alias("cluster"))
+    x = rows.where(F.size(vector) > 0).select(F.col(key), F.col(bucket).cast("string").alias("__b"), F.xxhash64(key).alias("__o"), normal(F.col(vector)).alias("__v"))
+    x = cut(x.where("__b is not null"), "vectors")
+    spark = rows.sparkSession
+    c = micro_clusters(x, micro)
+    shared = spark.sparkContext.broadcast(c)
+    names = sorted(c)
+    joined = dict(spark.sparkContext.parallelize(names, max(1, len(names))).map(lambda n: (n, average_linkage(shared.value[n], threshold))).collect())
+    labels = spark.sparkContext.broadcast(joined)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, g in pdf.groupby("__b"):
+                at = labels.value[name][closest(np.array(g["__v"].tolist()), shared.value[name])]
+                yield pd.DataFrame({key: g[key], "cluster": [f"{name}-{i:05d}" for i in at]})
+
+    return x.select(key, "__b", "__v").mapInPandas(place, f"{key} {dict(rows.dtypes)[key]}, cluster string")

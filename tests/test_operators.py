@@ -174,3 +174,37 @@ def test_session_draw_has_no_limit(spark, tmp_path):
     row = "'liepa3.dial' as dataset_id, 'A000001' as speaker_id, 'A' as region, 'male' as gender, '60+' as age_group, 1.0D as duration, 'a' as text_normalized, timestamp'2026-01-01' as recorded_at, timestamp'2026-01-01' as loaded_at"
     spark.range(500).selectExpr("format_string('A00000101-%04d', id) as id", *row.split(", ")).write.parquet(str(tmp_path / "clips.parquet"))
     assert [tuple(r) for r in catalog.queries()["session_draw"](spark, str(tmp_path)).collect()] == [("A00000101", 500)]
+
+
+def test_linkage_without_a_matrix():
+    import numpy as np
+
+    def slow(c, threshold):
+        groups = [[i] for i in range(len(c))]
+        while len(groups) > 1:
+            d, i, j = min((float(np.mean([1 - c[a] @ c[b] for a in g for b in h])), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+            if d > threshold:
+                break
+            groups[i] += groups.pop(j)
+        return {frozenset(g) for g in groups}
+
+    rng = np.random.default_rng(3)
+    for n, threshold in ((1, 0.3), (12, 0.1), (30, 0.3), (30, 0.6)):
+        c = rng.normal(size=(n, 3))
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        lab = vectors.average_linkage(c, threshold)
+        assert {frozenset(np.flatnonzero(lab == k)) for k in set(lab)} == slow(c, threshold)
+    assert len(set(vectors.average_linkage(np.tile([[0.6, 0.8]], (7, 1)), 0.1))) == 1
+
+
+def test_every_vector_counts_in_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, v.tolist(), "x") for k, v in enumerate(rng.normal(size=(18_000, 6)))], "id long, v array<double>, b string")
+    c = vectors.cluster(df, "id", "v", "b", micro=5, threshold=-1.0)  # nothing joins: a micro-cluster is a cluster
+    found = c.groupBy("cluster").count()
+    assert 3_400 < found.count() <= 3_600 and c.select("id").distinct().count() == 18_000
+    small = df.where("id < 300")
+    a, b = [{frozenset(r[0]) for r in vectors.cluster(small.repartition(n), "id", "v", "b", micro=5, threshold=0.3).groupBy("cluster").agg(F.collect_list("id")).collect()} for n in (1, 6)]
+    assert a == b
