@@ -113,19 +113,26 @@ def configurations(histogram: dict[int, int], capacity: int, most: int, rounds:
     """Patterns that hold exactly the histogram, and a lower bound on the number of containers.
 
     Multiplicative weights: each length's weight falls as it is covered; the pattern of most weight is priced by dynamic
-    programming and added. The mean of the patterns, scaled to cover the demand, solves the configuration program nearly;
-    each round's weights also give a dual bound. Multiplicities are rounded down and the rest is filled by length, after
-    which the better of this and filling everything so is kept.
+    programming and added. The patterns with their steps, scaled to cover the demand, solve the configuration program the
+    more nearly the more rounds there are; each round's weights also give a dual bound. The fewest containers of three ways
+    are kept: the solution's multiplicities rounded down, the largest multiplicities that the demand bears in the order in
+    which the patterns were found, and no patterns. Each fills the rest by length.
     """
+    ways, bound = candidates(histogram, capacity, most, rounds, rate)
+    return min(ways.values(), key=lambda ps: sum(p.times for p in ps), default=[]), bound
+
+
+def candidates(histogram: dict[int, int], capacity: int, most: int, rounds: int = 160, rate: float = 0.6) -> tuple[dict[str, list[Pattern]], float]:
+    """The packings that configurations() chooses from, by name, and the bound; no packing for an empty histogram."""
     histogram = {n: k for n, k in histogram.items() if k > 0}
     if not histogram:
-        return [], 0.0
+        return {}, 0.0
     if max(histogram) > capacity or min(histogram) < 1:
         raise ValueError("lengths must lie between 1 and the capacity")
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[n] for n in lengths], float)
     bound = max(float(lengths @ need) / capacity, need.sum() / most)
-    covered, patterns = np.zeros(len(lengths)), []
+    covered, patterns = np.zeros(len(lengths)), []  # patterns with their steps
     for _ in range(rounds):
         weight = np.exp(-rate * (covered - covered.min()))
         values = weight * lengths  # equal weights price full containers
@@ -134,21 +141,34 @@ def configurations(histogram: dict[int, int], capacity: int, most: int, rounds:
         a = np.array([take.get(int(n), 0) for n in lengths], float)
         gain = float(values @ a)
         bound = max(bound, float(values @ need) / gain) if sum(take.values()) <= most and _exact_price(take, values, lengths, capacity, most) else bound
-        patterns.append(take)
-        step = (need[a > 0] / a[a > 0]).min()
+        step = float((need[a > 0] / a[a > 0]).min())
+        patterns.append((tuple(sorted(take.items())), step))
         covered += step * a / need
+    own = [(((int(n), min(capacity // int(n), most)),), need[j] / min(capacity // int(n), most)) for j, n in enumerate(lengths) if not covered[j]]
+    short = float(covered[covered > 0].min())  # lengths that no round reached have containers of their own in the solution
+    share: dict[tuple, float] = {}
+    for p, step in patterns:
+        share[p] = share.get(p, 0.0) + step / short
+    for p, step in own:
+        share[p] = share.get(p, 0.0) + step
+    ways = {"program": _rounded(sorted(share.items(), key=lambda x: -x[1]), lengths, need, capacity, most)}
+    ways["order"] = _rounded([(p, np.inf) for p, _ in patterns], lengths, need, capacity, most)
+    ways["plain"] = _fill(dict(histogram), capacity, most)
+    return ways, bound
+
+
+def _rounded(wanted: list[tuple[tuple, float]], lengths: np.ndarray, need: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+    """Each pattern as often as wanted, rounded down, as far as the demand that is left bears it; the rest is filled by length."""
     uses: dict[tuple, float] = {}
     room = need.copy()
-    for take in patterns:  # largest multiplicities that the demand still bears, in the order of discovery
+    for p, x in wanted:
+        take = dict(p)
         a = np.array([take.get(int(n), 0) for n in lengths], float)
-        k = float(np.floor((room[a > 0] / a[a > 0]).min()))
+        k = float(np.floor(min(x + 1e-9, (room[a > 0] / a[a > 0]).min())))
         if k >= 1:
-            uses[tuple(sorted(take.items()))] = uses.get(tuple(sorted(take.items())), 0) + k
+            uses[p] = uses.get(p, 0) + k
             room -= k * a
-    rounded = [Pattern(dict(p), int(k)) for p, k in uses.items()]
-    rounded += _fill({int(n): int(r) for n, r in zip(lengths, room)}, capacity, most)
-    plain = _fill(dict(histogram), capacity, most)
-    return min(rounded, plain, key=lambda ps: sum(p.times for p in ps)), bound
+    return [Pattern(dict(p), int(k)) for p, k in uses.items()] + _fill({int(n): int(r) for n, r in zip(lengths, room)}, capacity, most)
 
 
 def _exact_price(take: dict[int, int], values: np.ndarray, lengths: np.ndarray, capacity: int, most: int) -> bool:

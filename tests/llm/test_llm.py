@@ -95,6 +95,14 @@ def test_configurations_hold_everything(histogram, capacity, most):
     assert sum(p.times for p in patterns) >= bound - 1e-6
 
 
+def test_configurations_round_the_program():
+    # the order of discovery gives 75 here, as do no patterns; the program's solution rounded down is near the bound of 67.3
+    patterns, bound = packing.configurations({31: 40, 14: 45, 16: 43, 15: 59, 27: 22}, 60, 30, rounds=40)
+    assert bound <= sum(p.times for p in patterns) <= 70
+    ways, _ = packing.candidates({n: 3 for n in range(1, 60)}, 60, 30, rounds=2)  # lengths that no round reaches
+    assert all(sum(p.times * p.take.get(n, 0) for p in w) == 3 for w in ways.values() for n in range(1, 60)) and len(ways) == 3
+
+
 def test_pack(spark):
     rnd = random.Random(2)
     rows = [(f"r{k}", [rnd.randint(0, 300) for _ in range(rnd.choice([0, 1, 2, 3, 40, 120]))] or None, None) for k in range(200)]
