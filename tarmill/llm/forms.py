@@ -47,9 +47,15 @@ def _script(ch: str) -> str:
     return next((s for s, p in _SCRIPTS.items() if p.match(ch)), "")
 
 
+def _shown(text: str) -> str:
+    """The text without what is invisible, with ordinary widths and shapes and plain hyphens."""
+    t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text).translate(_TO_HYPHEN)).translate(_TO_HYPHEN)
+    return _INVISIBLE.sub("", t)
+
+
 def skeleton(text: str) -> str:
-    """Decompose, replace each character by its Latin prototype, decompose again."""
-    return unicodedata.normalize("NFD", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFKD", text)))
+    """Decompose what is shown, replace each character by its Latin prototype, decompose again."""
+    return unicodedata.normalize("NFD", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", _shown(text))))
 
 
 @lru_cache(1 << 16)
@@ -79,9 +85,7 @@ def consistent(text: str | None) -> str | None:
         return None
     if text.isascii() and "  " not in text and text.isprintable() and text == text.strip():
         return text
-    t = _INVISIBLE.sub("", text)
-    t = unicodedata.normalize("NFKC", t.translate(_TO_HYPHEN)).translate(_TO_HYPHEN)
-    t = _SPACE.sub(" ", _INVISIBLE.sub("", t)).strip()
+    t = _SPACE.sub(" ", _shown(text)).strip()
     return unicodedata.normalize("NFC", _WORD.sub(lambda m: consistent_word(m[0]), t))
 
 
@@ -139,7 +143,7 @@ def word_groups(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("uses"))
     )
     odd = F.col("word").rlike(r"[^ -~]")
-    w = words.withColumn("skeleton", F.when(odd, _skeleton_udf(F.regexp_replace(F.when(odd, F.col("word")), r"\p{Cf}", ""))).otherwise(F.col("word")))
+    w = words.withColumn("skeleton", F.when(odd, _skeleton_udf(F.when(odd, F.col("word")))).otherwise(F.col("word")))
     g = w.groupBy("skeleton").agg(F.sort_array(F.collect_list(F.struct("word", "uses"))).alias("originals"), F.sum("uses").alias("uses"))
     g = g.where(F.size("originals") > 1)
     return g.withColumn("form", _consistent_udf(F.element_at("originals", 1)["word"])).select("skeleton", "form", "originals", "uses")

@@ -299,3 +299,14 @@ def test_level_accuracy(spark):
     g = grades.groupBy("doc_id").agg(F.min("level").alias("a"), F.max("level").alias("b"), F.count("*").alias("n")).where("a = b and n > 1")
     got = levels.graded(docs, grades.join(g, "doc_id", "left_anti")).join(g, "doc_id").select((F.col("level") >= 4).alias("p"), (F.col("a") >= 4).alias("t")).collect()
     assert len(got) > 50 and np.mean([r["p"] == r["t"] for r in got]) > 0.97
+
+
+def test_equal_forms_have_equal_skeletons(spark):
+    odd = [*forms.HYPHENS, "️", "͏", "ᅟ", "ㅤ", "​", "\x07", "\x7f", "́", "а", "o", "ﬁ", "ｏ", "ﾠ"]
+    words = [f"b{a}o{b}c" for a in ["", "-", *odd] for b in ["", *odd]]
+    by_form: dict[str, set] = {}
+    for w in words:
+        by_form.setdefault(forms.consistent(w), set()).add(forms.skeleton(w))
+    assert len(by_form) > 5 and all(len(v) == 1 for v in by_form.values())
+    df = spark.createDataFrame([("1", "vos-ne"), ("2", "vos‐ne"), ("3", "vos−ne️"), ("4", "kitas")], "id string, dial string")
+    assert [[o["word"] for o in r["originals"]] for r in forms.word_groups(df, "id", ["dial"]).collect()] == [["vos-ne", "vos‐ne", "vos−ne️"]]
