@@ -420,10 +420,20 @@ select round(v[floor(0.025 * len(v))::int + 1], 3) as low, round(v[floor(0.975 *
 
 @query(BOOT_SQL)
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the share of changed words, resampling speakers."""
+    """Interval of the share of changed words, resampling speakers 400 times as its SQL does."""
+    return _changed_words(spark, d, 400)
+
+
+def _changed_words(spark: SparkSession, d: str, reps: int) -> DataFrame:
     x = table(spark, d, "layers").where("alignment is not null").select("id", "alignment").distinct()
     s = x.groupBy(text.speaker_of(F.col("id")).alias("spk")).agg(F.sum(F.size("alignment")).alias("n"), F.sum(F.size(F.filter("alignment", lambda z: z["tag"] != "same"))).alias("e"))
-    return scoring.bootstrap(s, "e", "n", reps=400)
+    return scoring.bootstrap(s, "e", "n", reps=reps)
+
+
+@query()
+def bootstrap_interval_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same interval of 10,000 resamples, as many as the paired one has."""
+    return _changed_words(spark, d, 10_000)
 
 
 @query()
@@ -431,7 +441,7 @@ def bootstrap_paired(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the difference in dialect error between clip transcripts and standard texts as hypotheses."""
     refs = references(spark, d)
     other = scoring.clip_scores(refs, refs.select("id", F.col("std").alias("hyp")))
-    return scoring.bootstrap(scoring.by_speaker(scores(spark, d)), "e_dial", "n", scoring.by_speaker(other), reps=200)
+    return scoring.bootstrap(scoring.by_speaker(scores(spark, d)), "e_dial", "n", scoring.by_speaker(other), reps=10_000)
 
 
 @query(f"""
