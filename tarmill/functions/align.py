@@ -1,178 +1,181 @@
-"""Edit counts over words and alignment against alternative spellings, computed for a whole Arrow batch at once."""
+"""Edit counts over words and alignment against alternative spellings, computed for whole Arrow batches at once.
+
+Words become numbers, texts become rows of padded arrays of like sizes, and each step of a table takes one word of every text.
+A row of a table is kept less the cost of getting there by insertions alone, so that insertions are a running minimum.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-COUNTS = StructType([StructField(n, LongType()) for n in ("cost", "sub", "del", "ins")])
-EITHER = StructType([StructField("cost", LongType()), StructField("per", ArrayType(IntegerType()))])
-
-# A state is one integer: cost, substitutions, deletions and insertions in 15 bits each, so that the least integer is the
-# alignment of least cost with, on a tie, the fewest substitutions, then deletions.
-_BITS = 15
-_SUB, _DEL, _INS = (1 << 3 * _BITS) + (1 << 2 * _BITS), (1 << 3 * _BITS) + (1 << _BITS), (1 << 3 * _BITS) + 1
-_MASK = (1 << _BITS) - 1
-LONG = 48  # words of a hypothesis beyond which a pair is computed alone
-_WIDEST = 1 << 22  # cells of one state array
-
-
-def _numbers(lists: list[list[str]], width: int, pad: int, number: dict[str, int]) -> np.ndarray:
-    out = np.full((len(lists), width), pad, np.int32)
-    for r, ws in enumerate(lists):
-        out[r, : len(ws)] = [number.setdefault(w, len(number)) for w in ws]
+EDITS = StructType([StructField(n, LongType()) for n in ("e_dial", "sub", "del", "ins", "e_std", "e_either")] + [StructField("per", ArrayType(IntegerType()))])
+CELLS = 1 << 22  # cells of the tables of one group of texts, and of the states kept at once for tracing back
+_NO_REF, _NO_HYP = -1, -2  # stand after the ends of texts, equal to no word and not to each other
+
+
+@dataclass
+class Ragged:
+    """Rows of numbers of any lengths: row r is flat[start[r]:start[r + 1]]."""
+
+    flat: np.ndarray
+    start: np.ndarray
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    def padded(self, rows: np.ndarray, width: int, pad: int) -> np.ndarray:
+        """(rows, width) with the given number after the ends."""
+        at = np.arange(width)
+        inside = at < self.size[rows][:, None]
+        out = np.full(inside.shape, pad, np.int64)
+        out[inside] = self.flat[(self.start[rows][:, None] + at)[inside]]
+        return out
+
+    @classmethod
+    def starts(cls, sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups whose sizes differ by a quarter at most, so that padding costs little, and that fit CELLS."""
+    step = lambda x: np.where(x < 16, x, 16 + np.ceil(np.log(np.maximum(x, 16) / 16) / np.log(1.25))).astype(np.int64)
+    kind = step(n) << 32 | step(m)
+    order = np.lexsort((n, kind))
+    edge = np.flatnonzero(np.diff(kind[order], prepend=-1, append=-1))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        most = max(1, CELLS // ((int(m[order[lo:hi]].max()) + 1) * (int(n[order[lo:hi]].max()) + 1)))
+        for at in range(lo, hi, most):
+            yield order[at : min(hi, at + most)]
+
+
+def edit_counts(refs: Ragged, hyps: Ragged) -> np.ndarray:
+    """(rows, 4): cost, substitutions, deletions and insertions of each pair; of alignments of least cost, the one with the
+    fewest substitutions. The lengths and these two numbers give the other two, so a state is cost and substitutions."""
+    n, m = refs.size, hyps.size
+    out = np.zeros((len(n), 4), np.int64)
+    for rows in _alike(n, m):
+        width, height = int(m[rows].max()), int(n[rows].max())
+        small = width + height < 1 << 15
+        kind, shift = (np.int32, 15) if small else (np.int64, 31)
+        gap, swap = 1 << shift, (1 << shift) + 1
+        a, b = refs.padded(rows, height, _NO_REF), hyps.padded(rows, width, _NO_HYP)
+        state = np.zeros((len(rows), width + 1), kind)
+        last = state[:, 0].copy()
+        for i in range(height):
+            new = state + kind(gap)
+            np.minimum(new[:, 1:], state[:, :-1] + np.where(a[:, [i]] == b, kind(-gap), kind(swap - gap)), out=new[:, 1:])
+            state = np.minimum.accumulate(new, axis=1)
+            ends = np.flatnonzero(n[rows] == i + 1)
+            last[ends] = state[ends, m[rows][ends]]
+        cost, sub = (last >> shift) + m[rows], last & (gap - 1)
+        lost = (cost - sub + n[rows] - m[rows]) // 2
+        out[rows] = np.stack([cost, sub, lost, cost - sub - lost], 1)
     return out
 
 
-def _one(a: list[str], b: list[str]) -> int:
-    """The last state of one pair; for long texts, whose rows are too few to fill arrays."""
-    prev = [j * _INS for j in range(len(b) + 1)]
-    for x in a:
-        left = prev[0] + _DEL
-        cur = [left]
-        add = cur.append
-        diagonal = prev[0]
-        for y, up in zip(b, prev[1:]):
-            if x == y:
-                left = diagonal
-            else:
-                left += _INS
-                if up + _DEL < left:
-                    left = up + _DEL
-                if diagonal + _SUB < left:
-                    left = diagonal + _SUB
-            diagonal = up
-            add(left)
-        prev = cur
-    return prev[-1]
-
-
-def edit_counts(refs: list[list[str]], hyps: list[list[str]]) -> np.ndarray:
-    """(rows, 4): cost, substitutions, deletions and insertions of each pair. Equal words are always paired where they meet."""
-    n, m = np.array([len(r) for r in refs], int), np.array([len(h) for h in hyps], int)
-    out = np.zeros((len(refs), 4), np.int64)
-    if len(refs) and max(n.max(), m.max()) > _MASK:
-        raise ValueError(f"a text of more than {_MASK} words")
-    for r in np.flatnonzero(m > LONG):
-        last = _one(refs[r], hyps[r])
-        out[r] = last >> 3 * _BITS, last >> 2 * _BITS & _MASK, last >> _BITS & _MASK, last & _MASK
-    order = np.lexsort((m, n))
-    order = order[m[order] <= LONG]
-    at = 0
-    while at < len(order):
-        end = at + 1
-        while end < len(order) and end - at < 20_000 and n[order[end]] <= n[order[at]] + 4 and (m[order[at : end + 1]].max() + 1) * (end - at + 1) <= _WIDEST:
-            end += 1
-        rows = order[at:end]
-        at = end
-        number: dict[str, int] = {}
-        a = _numbers([refs[r] for r in rows], int(n[rows].max()), -1, number)
-        b = _numbers([hyps[r] for r in rows], int(m[rows].max()), -2, number)
-        width = b.shape[1]
-        prev = np.repeat((np.arange(width + 1, dtype=np.int64) * _INS)[None], len(rows), 0)
-        last = prev[np.arange(len(rows)), m[rows]]
-        for i in range(a.shape[1]):
-            same = a[:, [i]] == b
-            cur = np.empty_like(prev)
-            cur[:, 0] = prev[:, 0] + _DEL
-            best = np.minimum(prev[:, :-1] + _SUB, prev[:, 1:] + _DEL)
-            for j in range(width):
-                cur[:, j + 1] = np.where(same[:, j], prev[:, j], np.minimum(best[:, j], cur[:, j] + _INS))
-            prev = cur
-            done = n[rows] == i + 1
-            if done.any():
-                last[done] = prev[done, m[rows][done]]
-        out[rows] = np.stack([last >> 3 * _BITS, last >> 2 * _BITS & _MASK, last >> _BITS & _MASK, last & _MASK], 1)
-    return out
+def either(slots: Ragged, options: Ragged, words: Ragged, hyps: Ragged) -> tuple[np.ndarray, np.ndarray]:
+    """(cost of each row, errors of each slot) of the best alignment of a text with one option of every slot.
 
-
-def either(slots: list[list[list[str]]], hyp: list[str]) -> tuple[int, list[int]]:
-    """(cost, errors of each slot) of the best alignment of hyp with one alternative of every slot.
-
-    A slot takes a run of hypothesis words at the least edit distance over its alternatives, or an extra word at cost one.
-    Ties go to the shortest run, then to the earliest end; words before the first slot count for it, those after the last for
-    that. A state is the cost so far and where the slot's run began; an alternative's words are passed one by one, so the work
-    is slots x words x alternatives.
+    Row r has the slots slots.start[r] to slots.start[r + 1], slot s the options options.start[s] to options.start[s + 1],
+    option o the words words.flat[words.start[o]:words.start[o + 1]]. A slot takes a run of the text; its errors are the least
+    edits between the run and an option. Ties go to the shortest run, and to the earliest end of the last one; words before
+    the first run count for the first slot, words after the last for the last.
     """
-    n, m = len(slots), len(hyp)
-    step = _slot_arrays if m > LONG else _slot_lists
-    number: dict[str, int] = {}
-    words = np.array([number.setdefault(h, len(number)) for h in hyp], np.int64) if m > LONG else hyp
-    best = np.arange(m + 1) if m > LONG else list(range(m + 1))
-    trail = []
-    for alternatives in slots:
-        best, run, cost = step(best, {tuple(a) for a in alternatives}, words, number)
-        trail.append((run, cost))
-    end = min(range(m + 1), key=lambda j: best[j] + m - j)
-    per = [0] * n
-    i, j = n, end
-    while i:
-        k, c = int(trail[i - 1][0][j]), int(trail[i - 1][1][j])
-        per[i - 1] += c
-        if k < 0:
-            j -= 1
-        else:
-            i, j = i - 1, j - k
-    if n:
-        per[0] += j
-        per[-1] += m - end
-    return int(best[end]) + m - end, per
-
-
-def _slot_lists(best: list[int], alternatives: set[tuple[str, ...]], hyp: list[str], _: dict) -> tuple[list[int], list[int], list[int]]:
-    """(best costs, run lengths, costs) after one slot; run -1 is an extra word."""
-    m = len(hyp)
-    wide = m + 1  # a state is cost * wide + (m - start): of equal costs the later start is less
-    low: list[int] | None = None
-    for words in alternatives:
-        cur = [c * wide + m - j for j, c in enumerate(best)]
-        for w in words:
-            left = cur[0] + wide
-            nxt = [left]
-            diagonal = cur[0]
-            for h, up in zip(hyp, cur[1:]):
-                left = min(left + wide, up + wide, diagonal if h == w else diagonal + wide)
-                diagonal = up
-                nxt.append(left)
-            cur = nxt
-        low = cur if low is None else [min(x, y) for x, y in zip(low, cur)]
-    row, run, costs = [], [], []
-    for j, x in enumerate(low or []):
-        cost, start = x // wide, m - x % wide
-        if j and row[-1] + 1 < cost:
-            row.append(row[-1] + 1), run.append(-1), costs.append(1)
-        else:
-            row.append(cost), run.append(j - start), costs.append(cost - best[start])
-    return row, run, costs
-
-
-def _slot_arrays(best: np.ndarray, alternatives: set[tuple[str, ...]], hyp: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_slot_lists for long hypotheses, a whole row of states at a time."""
-    m = len(hyp)
-    wide = m + 1
-    at = np.arange(m + 1)
-    ramp = at * wide
-    low = None
-    for words in alternatives:
-        cur = best * wide + m - at
-        for w in words:
-            nxt = cur + wide
-            nxt[1:] = np.minimum(nxt[1:], cur[:-1] + np.where(hyp == number.get(w, -1), 0, wide))
-            cur = np.minimum.accumulate(nxt - ramp) + ramp
-        low = cur if low is None else np.minimum(low, cur)
-    cost, start = low // wide, m - low % wide
-    row = np.minimum.accumulate(cost - at) + at
-    extra = row < cost
-    return row, np.where(extra, -1, at - start), np.where(extra, 1, cost - best[start])
-
-
-def _lists(s: pd.Series) -> list[list[str]]:
-    return [[] if x is None else list(x) for x in s]
+    n, m = slots.size, hyps.size
+    cost, errors = m.copy(), np.zeros(int(slots.start[-1]), np.int64)
+    many = _different(options, words)
+    for rows in _alike(n, m):
+        if n[rows].max():
+            cost[rows] = _either_group(rows, n[rows], m[rows], slots.start[rows], options, many, words, hyps, errors)
+    return cost, errors
+
+
+def _different(options: Ragged, words: Ragged) -> np.ndarray:
+    """Options of each slot that need a look: one where there are two of the same single word."""
+    many = options.size.copy()
+    two = np.flatnonzero(many == 2)
+    o = options.start[two]
+    single = (words.size[o] == 1) & (words.size[o + 1] == 1)
+    o, two = o[single], two[single]
+    many[two[words.flat[words.start[o]] == words.flat[words.start[o + 1]]]] = 1
+    return many
+
+
+def _either_group(rows: np.ndarray, n: np.ndarray, m: np.ndarray, first: np.ndarray, options: Ragged, many: np.ndarray, words: Ragged, hyps: Ragged, errors: np.ndarray) -> np.ndarray:
+    """Costs of rows of like sizes; the errors of their slots are written to errors."""
+    width, height = int(m.max()), int(n.max())
+    hyp, at = hyps.padded(rows, width, _NO_HYP), np.arange(width + 1)
+    every = np.arange(len(rows))
+    block = max(1, CELLS // (len(rows) * (width + 1)))
+
+    def run(best: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(costs, where the run of slot i begins) for each end of the run, from the costs before the slot."""
+        low = _run_states(best * (width + 1) + width - at, i, first, n, options, many, words, hyp, width)
+        return low // (width + 1), width - low % (width + 1)
+
+    best = np.zeros((len(rows), width + 1), np.int64)  # costs less the words passed
+    kept, total, end = [], m.copy(), np.zeros(len(rows), np.int64)
+    trail: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(height):
+        if i % block == 0:
+            kept.append(best)
+            trail = []
+        before, (best, begin) = best, run(best, i)
+        trail.append(tuple(x.astype(np.int32) for x in (before, best, begin)))
+        ends = np.flatnonzero(n == i + 1)
+        if len(ends):
+            least = best[ends, m[ends]]
+            total[ends] = least + m[ends]
+            end[ends] = (best[ends] == least[:, None]).argmax(1)
+            errors[first[ends] + i] = m[ends] - end[ends]
+    place = end
+    for b in range(len(kept) - 1, -1, -1):
+        if b < len(kept) - 1:  # long texts: the states of a block are computed again from its first costs
+            best, trail = kept[b], []
+            for i in range(b * block, (b + 1) * block):
+                before, (best, begin) = best, run(best, i)
+                trail.append((before, best, begin))
+        for k in range(len(trail) - 1, -1, -1):
+            i = b * block + k
+            own = every[n > i]
+            before, after, begin = (x[own] for x in trail[k])
+            to = place[own]
+            line = np.arange(len(own))
+            start = begin[line, to]
+            errors[first[own] + i] += after[line, to] + to - (before[line, start] + start) + (start if i == 0 else 0)
+            place[own] = start
+    return total
+
+
+def _run_states(fresh: np.ndarray, i: int, first: np.ndarray, n: np.ndarray, options: Ragged, many: np.ndarray, words: Ragged, hyp: np.ndarray, width: int) -> np.ndarray:
+    """The least states after slot i of each row: cost, then the latest begin of the run. Rows without that slot keep none."""
+    gap = width + 1
+    own = np.flatnonzero(n > i)
+    o, k = options.start[first[own] + i], many[first[own] + i]
+    low = fresh.copy()
+    low[own[k > 0]] = np.iinfo(np.int64).max
+    for a in range(int(k.max(initial=0))):
+        has, option = own[k > a], o[k > a] + a
+        state, size = fresh[has], words.size[option]
+        for t in range(int(size.max(initial=0))):
+            go = np.flatnonzero(size > t)
+            x, w = state[go], words.flat[words.start[option[go]] + t]
+            new = x + gap
+            np.minimum(new[:, 1:], x[:, :-1] + np.where(w[:, None] == hyp[has[go]], -gap, 0), out=new[:, 1:])
+            state[go] = np.minimum.accumulate(new, axis=1)
+        low[has] = np.minimum(low[has], state)
+    return low
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -206,27 +209,31 @@ def _chars_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else distance(x, y, max(len(x), len(y))) for x, y in zip(a, b)], dtype="Int64")
 
 
-@F.pandas_udf(COUNTS)
-def _counts_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for a, b in batches:
-        yield pd.DataFrame(edit_counts(_lists(a), _lists(b)), columns=COUNTS.names)
-
-
-@F.pandas_udf(EITHER)
-def _either_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for slots, hyps in batches:
-        got = [either([[list(a) for a in s] for s in (x if x is not None else [])], list(h) if h is not None else []) for x, h in zip(slots, hyps)]
-        yield pd.DataFrame({"cost": [c for c, _ in got], "per": [p for _, p in got]})
+def _rows(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Sizes of the lists, a null one empty, and what they hold."""
+    return pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), lists.flatten()
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """struct(cost, sub, del, ins) of two word arrays; a null array counts as empty."""
-    return _counts_udf(ref, hyp)
+@F.arrow_udf(EDITS)
+def _edits_udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for dial, std, slots, hyp in batches:
+        (nd, d), (ns, s), (nh, h), (n, inner) = _rows(dial), _rows(std), _rows(hyp), _rows(slots)
+        k, inner = _rows(inner)
+        size, w = _rows(inner)
+        flat = pc.fill_null(pa.concat_arrays([x.cast(pa.string()) for x in (d, s, h, w)]), "").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        d, s, h, w = np.split(flat.astype(np.int64), np.cumsum([len(d), len(s), len(h)]))
+        hyps = Ragged(h, Ragged.starts(nh))
+        ed, es = edit_counts(Ragged(d, Ragged.starts(nd)), hyps), edit_counts(Ragged(s, Ragged.starts(ns)), hyps)
+        starts = Ragged.starts(n)
+        cost, errors = either(Ragged(np.zeros(0), starts), Ragged(np.zeros(0), Ragged.starts(k)), Ragged(w, Ragged.starts(size)), hyps)
+        per = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(errors, pa.int32()))
+        yield pa.StructArray.from_arrays([*[pa.array(x) for x in (*ed.T, es[:, 0], cost)], per], EDITS.names)
 
 
-def either_edits(slots: Column, hyp: Column) -> Column:
-    """struct(cost, per) of an array of slots (arrays of alternatives, arrays of words) and a word array."""
-    return _either_udf(slots, hyp)
+def clip_edits(dial: Column, std: Column, slots: Column, hyp: Column) -> Column:
+    """struct(e_dial, sub, del, ins, e_std, e_either, per) of word arrays dial and std and an array of slots (arrays of options,
+    arrays of words) against the word array hyp, in one pass; a null array counts as empty."""
+    return _edits_udf(dial, std, slots, hyp)
 
 
 def char_edits(a: Column, b: Column, long: int = 400) -> Column:

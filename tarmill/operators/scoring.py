@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarmill.functions import align, text
+from tarmill.operators import batches
+from tarmill.runtime import cut
 
 COUNTERS = ["n", "n_std", "e_dial", "e_std", "e_either", "sub", "del", "ins", "chars", "e_char"]
 
@@ -18,7 +19,8 @@ def percent(a: Column, b: Column, places: int = 3) -> Column:
 
 def slots(alignment: Column, dial: Column) -> Column:
     """Alternatives of each aligned word: its dialect and its standard words, a plus sign separating merged ones. Without an
-    alignment, every dialect word is a slot of its own."""
+    alignment, or with an empty one, every dialect word is a slot of its own."""
+    alignment = F.when(F.size(alignment) > 0, alignment)
     a = text.normalise_each(F.transform(alignment, lambda a: a["dial"]))
     b = text.normalise_each(F.transform(alignment, lambda a: a["std"]))  # a plus sign becomes a space like other signs
     given = F.zip_with(a, b, lambda x, y: F.array(text.words(x), text.words(y)))
@@ -40,14 +42,13 @@ def clip_scores(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     )
     x = x.withColumns({k + "w": text.words(F.col(k)) for k in "dsh"})
     x = x.withColumn("slots", slots(F.col("alignment"), F.col("dw")))
-    x = x.withColumns({"ed": align.word_edits(F.col("dw"), F.col("hw")), "es": align.word_edits(F.col("sw"), F.col("hw")), "ee": align.either_edits(F.col("slots"), F.col("hw"))})
-    tag = F.coalesce(F.transform("alignment", lambda a: a["tag"]), F.transform("dw", lambda w: F.lit("same")))
+    x = x.withColumn("e", align.clip_edits(F.col("dw"), F.col("sw"), F.col("slots"), F.col("hw")))
+    tag = F.coalesce(F.transform(F.when(F.size("alignment") > 0, F.col("alignment")), lambda a: a["tag"]), F.transform("dw", lambda w: F.lit("same")))
     return x.select(
         "id", F.when(text.is_dialect_id(F.col("id")), text.speaker_of(F.col("id"))).otherwise(F.col("id")).alias("spk"),
-        F.size("dw").cast("long").alias("n"), F.size("sw").cast("long").alias("n_std"), F.col("ed.cost").alias("e_dial"), F.col("es.cost").alias("e_std"),
-        F.col("ee.cost").alias("e_either"), F.col("ed.sub").alias("sub"), F.col("ed.del").alias("del"), F.col("ed.ins").alias("ins"),
+        F.size("dw").cast("long").alias("n"), F.size("sw").cast("long").alias("n_std"), *[F.col(f"e.{c}").alias(c) for c in ("e_dial", "e_std", "e_either", "sub", "del", "ins")],
         F.length("d").cast("long").alias("chars"), align.char_edits(F.col("d"), F.col("h")).alias("e_char"),
-        F.transform(F.arrays_zip(tag.alias("tag"), F.col("ee.per").alias("err")), lambda z: F.struct(z["tag"].alias("tag"), z["err"].alias("err"))).alias("tags"), "missing",
+        F.transform(F.arrays_zip(tag.alias("tag"), F.col("e.per").alias("err")), lambda z: F.struct(z["tag"].alias("tag"), z["err"].alias("err"))).alias("tags"), "missing",
     )
 
 
@@ -87,15 +88,19 @@ def by_tag(scores: DataFrame) -> DataFrame:
 def resample(clusters: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     """(rep, key, times): how often each cluster is drawn in each resample of as many draws as there are clusters.
 
-    Draw k of a resample takes the cluster whose number, in the order of key, is a hash of (seed, rep, k) modulo their
-    count, so any system that has the hash draws the same. Clusters are numbered by a window over one row a cluster.
+    Draws 2 k and 2 k + 1 of a resample take the clusters whose numbers, in the order of key, are the halves of a hash of (seed,
+    rep, k) modulo their count, so any system that has the hash draws the same. Clusters are numbered without a window over
+    all of them, and the hashes are one range over all tasks.
     """
-    numbered = clusters.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("at"))
-    n = F.broadcast(clusters.agg(F.count(F.lit(1)).alias("clusters")))
-    spark = clusters.sparkSession
-    draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(n).withColumn("k", F.explode(F.expr("sequence(0, clusters - 1)")))
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long")
-    counted = draws.select("rep", (h % F.col("clusters")).alias("at")).groupBy("rep", "at").agg(F.count(F.lit(1)).alias("times"))
+    numbered = cut(batches.numbered(clusters.select(key), [key]), "clusters")
+    n = numbered.count()
+    half = max((n + 1) // 2, 1)
+    rep, k = F.floor(F.col("id") / half), F.col("id") % half
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), rep.cast("string"), k.cast("string")))
+    draws = clusters.sparkSession.range(reps * half if n else 0).select(rep.alias("rep"), k.alias("k"), digest.alias("h"))
+    draws = draws.select("rep", F.explode(F.array(F.substring("h", 1, 15), F.when(2 * F.col("k") + 1 < n, F.substring("h", 17, 15)))).alias("h")).where("h is not null")
+    h = F.conv("h", 16, 10).cast("long")
+    counted = draws.select("rep", (h % max(n, 1)).alias("at")).groupBy("rep", "at").agg(F.count(F.lit(1)).alias("times"))
     return counted.join(numbered, "at").select("rep", key, "times")
 
 
@@ -107,6 +112,7 @@ def bootstrap(speakers: DataFrame, error: str = "e_either", words: str = "n", ot
         a = a.withColumns({"e2": F.lit(None).cast("long"), "w2": F.lit(None).cast("long")})
     else:
         a = a.join(other.select("spk", F.col(error).alias("e2"), F.col(words).alias("w2")), "spk")
+    a = cut(a, "speakers")
     r = resample(a, "spk", reps, seed).join(a, "spk").groupBy("rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("e", "w", "e2", "w2")])
     rate = 100 * F.col("e") / F.nullif(F.col("w"), F.lit(0))
     if other is not None:

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from tarmill.functions import text
 from tarmill.operators import batches, joins, lexicon, scoring, standardise
+from tarmill.plans import score_sql
 from tarmill.plans.registry import query
+from tarmill.plans.score_sql import N
 from tarmill.runtime import table
 
 
-def N(c: str) -> str:  # noqa: N802
-    """SQL of text.normalise."""
-    return rf"trim(regexp_replace(lower(nfc_normalize(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-
-
 def T(c: str) -> str:  # noqa: N802
     """SQL of text.tokens."""
     return rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
 
 
+REPS = 10_000
 LAYERS_SQL = "(select distinct id, split, tier, dial, std, alignment from layers)"
 PAIRS_SQL = f"""(select id, tier, unnest(range(least(len(d), len(s)))) as pos, d, s from (
   select id, tier, {T('dial')} as d, {T('std')} as s from {LAYERS_SQL} where dial is not null and std is not null))"""
@@ -368,7 +366,7 @@ def assembled_layer(spark: SparkSession, d: str) -> DataFrame:
     return standardise.layered(*[(t, x.where(F.col("tier") == t).drop("tier")) for t in ("gold", "perclip", "silver")])
 
 
-@query()
+@query(score_sql.TOTALS)
 def score_totals(spark: SparkSession, d: str) -> DataFrame:
     """Pooled error rates of clip transcripts against the layers."""
     return scoring.totals(scores(spark, d))
@@ -394,54 +392,35 @@ def score_denominators(spark: SparkSession, d: str) -> DataFrame:
     return x
 
 
-@query()
+@query(score_sql.BY_REGION)
 def score_by_region(spark: SparkSession, d: str) -> DataFrame:
     return scoring.by_region(scoring.by_speaker(scores(spark, d)))
 
 
-@query()
+@query(score_sql.BY_TAG)
 def score_by_tag(spark: SparkSession, d: str) -> DataFrame:
     return scoring.by_tag(scores(spark, d))
 
 
-@query()
+@query(score_sql.SPEAKER_MEAN)
 def score_speaker_mean(spark: SparkSession, d: str) -> DataFrame:
     return scoring.mean_over_speakers(scoring.by_speaker(scores(spark, d)))
 
 
-BOOT_SQL = """
-with a as (select left(id, 7) as spk, sum(len(alignment))::bigint as w, sum(len(list_filter(alignment, lambda z: z.tag <> 'same')))::bigint as e
-    from (select distinct id, alignment from layers where alignment is not null) group by 1),
-  k as (select spk, e, w, row_number() over (order by spk) - 1 as nth, count(*) over () as n from a),
-  draw as (select rep, ('0x' || substr(md5('2026-' || rep || '-' || k), 1, 12))::bigint % n as nth from (select unnest(range(400)) as rep), (select n, unnest(range(n)) as k from (select max(n) as n from k))),
-  v as (select rep, 100 * sum(e) / sum(w) as v from draw join k using (nth) group by rep), s as (select list(v order by v) as v from v)
-select round(v[floor(0.025 * len(v))::int + 1], 3) as low, round(v[floor(0.975 * len(v))::int + 1], 3) as high from s"""
-
-
-@query(BOOT_SQL)
+@query(score_sql.INTERVAL)
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the share of changed words, resampling speakers 400 times as its SQL does."""
-    return _changed_words(spark, d, 400)
-
-
-def _changed_words(spark: SparkSession, d: str, reps: int) -> DataFrame:
+    """Interval of the share of changed words, resampling speakers."""
     x = table(spark, d, "layers").where("alignment is not null").select("id", "alignment").distinct()
     s = x.groupBy(text.speaker_of(F.col("id")).alias("spk")).agg(F.sum(F.size("alignment")).alias("n"), F.sum(F.size(F.filter("alignment", lambda z: z["tag"] != "same"))).alias("e"))
-    return scoring.bootstrap(s, "e", "n", reps=reps)
+    return scoring.bootstrap(s, "e", "n", reps=REPS)
 
 
-@query()
-def bootstrap_interval_full(spark: SparkSession, d: str) -> DataFrame:
-    """The same interval of 10,000 resamples, as many as the paired one has."""
-    return _changed_words(spark, d, 10_000)
-
-
-@query()
+@query(score_sql.PAIRED)
 def bootstrap_paired(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the difference in dialect error between clip transcripts and standard texts as hypotheses."""
     refs = references(spark, d)
     other = scoring.clip_scores(refs, refs.select("id", F.col("std").alias("hyp")))
-    return scoring.bootstrap(scoring.by_speaker(scores(spark, d)), "e_dial", "n", scoring.by_speaker(other), reps=10_000)
+    return scoring.bootstrap(scoring.by_speaker(scores(spark, d)), "e_dial", "n", scoring.by_speaker(other), reps=REPS)
 
 
 @query(f"""
