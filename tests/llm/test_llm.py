@@ -257,22 +257,48 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(9))
     items = spark.createDataFrame([(70, " ".join(item)), (71, " ".join(item[:11])), (72, None), (73, "")], "item_id long, text string")
     got = sorted(map(tuple, leaks.leaked(df, items).collect()))
-    brute = lambda t: leaks.passage(*[(lambda n: (np.array([n.setdefault(x, len(n)) for x in item]), np.array([n.get(x, -1) for x in leaks.words(t)])))({})][0])
+    brute = lambda t: leaks.passage(leaks.Hashes().of(item), leaks.Hashes().of(leaks.words(t)))
     want = sorted((k, 70) for k, t in docs if t and brute(t))
     assert got == want and {k for k, _ in got} == {1, 2, 3, 5, 8, 9, 10}  # 2: eleven words and a changed one
-    assert sorted(map(tuple, leaks.leaked(df, items, shard_chars=60).collect())) == want
+    assert sorted(map(tuple, leaks.leaked(df, items, broadcast_chars=60).collect())) == want
+    assert [leaks.words(f"aa{c}bb") for c in "\u2066\u061c\u180e\U000e0041\u20d0\u0301\x07"] == [["aabb"]] * 7
+    twice = items.unionByName(items).unionByName(spark.createDataFrame([(None, " ".join(item))], items.schema))
+    assert [leaks.leaked(df, twice, broadcast_chars=n).count() for n in (0, 10_000)] == [2 * len(want)] * 2
     assert leaks.leaked(df, items.limit(0)).count() == 0 and leaks.leaked(df.limit(0), items).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 def test_winnow_guarantee(a, b):
-    """Every shared run of WINDOW + K - 1 words shares a fingerprint."""
-    t = leaks.WINDOW + leaks.K - 1
-    ha, hb = (set(leaks.winnow(np.array(x, np.int64), 6)[1].tolist()) for x in (a, b))
-    for i in range(len(a) - t + 1):
-        if any(a[i : i + t] == b[j : j + t] for j in range(len(b) - t + 1)):
-            assert ha & hb
+    """Every shared run of WINDOW + K - 1 words shares a fingerprint, and one with a word beside it."""
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    (pa, ha), (pb, hb) = leaks.winnow(a), leaks.winnow(b)
+    both = np.concatenate([a, b])
+    end = np.zeros(len(both), bool)
+    end[[x for x in (len(a) - 1, len(both) - 1) if x >= 0]] = True
+    if len(a) and len(b):  # texts in one row have the fingerprints that they have alone
+        p, h = leaks.winnow(both, end)
+        assert p.tolist() == [*pa.tolist(), *(pb + len(a)).tolist()] and h.tolist() == [*ha.tolist(), *hb.tolist()]
+    ra, rb = (set(leaks.runs(*x)[1].tolist()) for x in ((a, pa, ha), (b, pb, hb)))
+    shared = any((a[i : i + leaks.RUN] == b[j : j + leaks.RUN]).all() for i in range(len(a) - leaks.RUN + 1) for j in range(len(b) - leaks.RUN + 1))
+    assert not shared or set(ha.tolist()) & set(hb.tolist()) and ra & rb
+
+
+def test_long_items_and_documents():
+    """A passage anywhere in long texts is found, and what is found agrees with a look at the whole texts."""
+    rnd = random.Random(12)
+    common = [f"c{k}" for k in range(12)]
+    for _ in range(60):
+        item = [rnd.choice(common) if rnd.random() < 0.5 else f"i{rnd.randint(0, 400)}" for _ in range(rnd.choice([12, 30, 150]))]
+        at, n = rnd.randrange(max(1, len(item) - 12)), rnd.randint(10, 40)
+        piece = [w for w in item[at : at + n]]
+        for _ in range(rnd.randint(0, n // 5)):
+            k = rnd.randrange(len(piece))
+            piece[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["new"]])
+        doc = [*[rnd.choice(common) for _ in range(rnd.randint(0, 80))], *piece, *[rnd.choice(common) for _ in range(rnd.randint(0, 80))]]
+        held = leaks.HeldOut.of([(5, " ".join(item))])
+        hashes = leaks.Hashes()
+        assert list(held.find([hashes.of(doc)])) == ([(0, 5)] if leaks.passage(hashes.of(item), hashes.of(doc)) else [])
 
 
 # --- 8 ---
