@@ -44,7 +44,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.oversize(table(spark, d, "std_queue"), table(spark, d, "chunk_limits"))
+    return packing.split_records(p3_chunks(spark, d))
 
 
 def p3_chunks(spark: SparkSession, d: str) -> DataFrame:

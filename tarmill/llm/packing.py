@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tarmill.runtime import ranked
 
+RESERVES = 20  # shares of the room that are tried
+PROBES = 4  # charges tried in one pricing; the next goes on from the last
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -48,22 +51,29 @@ def _knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[in
     return take
 
 
-def _price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: int) -> dict[int, int]:
-    """_knapsack with at most `most` items: a charge on each item is raised until the limit holds."""
-    take = _knapsack(values, lengths, capacity)
-    if sum(take.values()) <= most:
-        return take
-    low, high, found = 0.0, float(values.max()), {int(lengths[values.argmax()]): 1}
-    worth = lambda t: sum(values[np.searchsorted(lengths, n)] * k for n, k in t.items())
-    for _ in range(14):
-        charge = (low + high) / 2
+def _price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: int, charge: float) -> tuple[dict[int, int], float, float]:
+    """(pattern, upper bound on what any pattern is worth, charge for the next call) with at most `most` items.
+
+    An item costs a charge that is moved until about `most` items remain. Whatever the charge, the best pattern under it and
+    the charge of `most` items bound the worth of every pattern, so the least of these bounds holds for the program.
+    """
+    worth = lambda t: float(sum(values[at[n]] * k for n, k in t.items()))
+    at = {int(n): j for j, n in enumerate(lengths)}
+    free = _knapsack(values, lengths, capacity)
+    found, above = {int(lengths[values.argmax()]): 1}, worth(free)
+    if sum(free.values()) <= most:
+        return free, above, charge
+    low, high = 0.0, float(values.max())
+    for _ in range(PROBES):
         take = _knapsack(values - charge, lengths, capacity)
-        if 0 < sum(take.values()) <= most:
+        above = min(above, worth(take) - charge * sum(take.values()) + charge * most)
+        if sum(take.values()) <= most:
             high = charge
             if worth(take) > worth(found):
                 found = take
         else:
             low = charge
+        charge = (low + high) / 2
     spare, room = most - sum(found.values()), capacity - sum(n * k for n, k in found.items())
     for j in np.argsort(-values):  # room and items that the charge left over
         n = int(lengths[j])
@@ -71,13 +81,19 @@ def _price(values: np.ndarray, lengths: np.ndarray, capacity: int, most: int) ->
         if k > 0:
             found[n] = found.get(n, 0) + k
             spare, room = spare - k, room - n * k
-    return found
+    return found, max(above, worth(found)), high
 
 
 def _fill(left: dict[int, int], capacity: int, most: int) -> list[Pattern]:
-    """Containers for what rounding left, by length: the largest items first, each at its best fit, then small items in the
-    proportions in which they are left, so that no heap of the least items remains, which the item limit would let fill only
-    in part. Equal containers are counted together."""
+    """The fewest containers that _filled() needs, over shares of the room that large items leave to small ones."""
+    ways = (_filled(left, capacity, most, capacity * k // RESERVES) for k in range(RESERVES))
+    return min(ways, key=lambda ps: sum(p.times for p in ps))
+
+
+def _filled(left: dict[int, int], capacity: int, most: int, reserve: int) -> list[Pattern]:
+    """Containers for what rounding left, by length: the largest items first, each at its best fit and `reserve` of the room kept free if
+    one item alone doesn't need it, then small items in the proportions in which they are left, so that no heap of the least items remains, which the item limit would let fill only
+    in part. Each pattern is repeated while all its lengths last, so the turns grow with the lengths, not with the containers."""
     small = max(1, capacity // 40)
     left = {n: k for n, k in left.items() if k > 0}
     out: dict[tuple[tuple[int, int], ...], int] = {}
@@ -85,7 +101,7 @@ def _fill(left: dict[int, int], capacity: int, most: int) -> list[Pattern]:
         take: dict[int, int] = {}
         room, spare = capacity, most
         for n in sorted((n for n in left if n > small), reverse=True):
-            k = min(left[n], room // n, spare)
+            k = min(left[n], max((room - reserve) // n, 0 if take else 1), spare)
             if k > 0:
                 take[n], room, spare = k, room - n * k, spare - k
         tiny = {n: k for n, k in left.items() if n <= small}
@@ -100,7 +116,7 @@ def _fill(left: dict[int, int], capacity: int, most: int) -> list[Pattern]:
                 k = min(tiny[n] - take.get(n, 0), room // n, spare)
                 if k > 0:
                     take[n], room, spare = take.get(n, 0) + k, room - n * k, spare - k
-        times = 1 if any(n > small for n in take) else min(left[n] // k for n, k in take.items())
+        times = min(left[n] // k for n, k in take.items())
         key = tuple(sorted(take.items()))
         out[key] = out.get(key, 0) + times
         for n, k in take.items():
@@ -114,14 +130,24 @@ def configurations(histogram: dict[int, int], capacity: int, most: int, rounds:
 
     Multiplicative weights: each length's weight falls as it is covered; the pattern of most weight is priced by dynamic
     programming and added. The patterns with their steps, scaled to cover the demand, solve the configuration program the
-    more nearly the more rounds there are; each round's weights also give a dual bound. The fewest containers of three ways
+    more nearly the more rounds there are; each round's weights also give a dual
+    bound. No rounds are needed where filling by length is
+    within one container of that bound. The fewest containers of three ways
     are kept: the solution's multiplicities rounded down, the largest multiplicities that the demand bears in the order in
     which the patterns were found, and no patterns. Each fills the rest by length.
     """
+    plain, bound = _fill(histogram, capacity, most), _even(histogram, capacity, most)
+    if sum(p.times for p in plain) < bound + 1:
+        return plain, bound  # equal prices for equal room, or for items, solve the dual program: no packing has fewer
     ways, bound = candidates(histogram, capacity, most, rounds, rate)
     return min(ways.values(), key=lambda ps: sum(p.times for p in ps), default=[]), bound
 
 
+def _even(histogram: dict[int, int], capacity: int, most: int) -> float:
+    """Value of the dual program at prices by length alone, or the same for each item."""
+    return max(sum(n * k for n, k in histogram.items()) / capacity, sum(histogram.values()) / most)
+
+
 def candidates(histogram: dict[int, int], capacity: int, most: int, rounds: int = 160, rate: float = 0.6) -> tuple[dict[str, list[Pattern]], float]:
     """The packings that configurations() chooses from, by name, and the bound; no packing for an empty histogram."""
     histogram = {n: k for n, k in histogram.items() if k > 0}
@@ -131,16 +157,16 @@ def candidates(histogram: dict[int, int], capacity: int, most: int, rounds: int
         raise ValueError("lengths must lie between 1 and the capacity")
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[n] for n in lengths], float)
-    bound = max(float(lengths @ need) / capacity, need.sum() / most)
-    covered, patterns = np.zeros(len(lengths)), []  # patterns with their steps
+    bound = _even(histogram, capacity, most)
+    plain = _fill(dict(histogram), capacity, most)
+    covered, patterns, charge = np.zeros(len(lengths)), [], 0.0  # patterns with their steps
     for _ in range(rounds):
         weight = np.exp(-rate * (covered - covered.min()))
         values = weight * lengths  # equal weights price full containers
         values = values / values.max()
-        take = _price(values, lengths, capacity, most)
+        take, above, charge = _price(values, lengths, capacity, most, charge)
         a = np.array([take.get(int(n), 0) for n in lengths], float)
-        gain = float(values @ a)
-        bound = max(bound, float(values @ need) / gain) if sum(take.values()) <= most and _exact_price(take, values, lengths, capacity, most) else bound
+        bound = max(bound, float(values @ need) / above)
         step = float((need[a > 0] / a[a > 0]).min())
         patterns.append((tuple(sorted(take.items())), step))
         covered += step * a / need
@@ -153,7 +179,7 @@ def candidates(histogram: dict[int, int], capacity: int, most: int, rounds: int
         share[p] = share.get(p, 0.0) + step
     ways = {"program": _rounded(sorted(share.items(), key=lambda x: -x[1]), lengths, need, capacity, most)}
     ways["order"] = _rounded([(p, np.inf) for p, _ in patterns], lengths, need, capacity, most)
-    ways["plain"] = _fill(dict(histogram), capacity, most)
+    ways["plain"] = plain
     return ways, bound
 
 
@@ -171,11 +197,6 @@ def _rounded(wanted: list[tuple[tuple, float]], lengths: np.ndarray, need: np.nd
     return [Pattern(dict(p), int(k)) for p, k in uses.items()] + _fill({int(n): int(r) for n, r in zip(lengths, room)}, capacity, most)
 
 
-def _exact_price(take: dict[int, int], values: np.ndarray, lengths: np.ndarray, capacity: int, most: int) -> bool:
-    """Whether _price solved its knapsack exactly, so that it bounds the program: the item limit didn't bind."""
-    return sum(_knapsack(values, lengths, capacity).values()) <= most
-
-
 def items(queue: DataFrame, limits: DataFrame) -> DataFrame:
     """(id, list_name, positions array<int>, capacity, max_clips) once for each record and list, positions distinct and in order.
 
@@ -189,9 +210,9 @@ def items(queue: DataFrame, limits: DataFrame) -> DataFrame:
     return x.join(F.broadcast(limits.select("list_name", "capacity", "max_clips")), "list_name")
 
 
-def oversize(queue: DataFrame, limits: DataFrame) -> DataFrame:
-    """(id, list_name) of the records that must be split: more distinct positions than the capacity."""
-    return items(queue, limits).where(F.size("positions") > F.col("capacity")).select("id", "list_name")
+def split_records(chunks: DataFrame) -> DataFrame:
+    """(id, list_name) of the records that pack() split: those with a second part."""
+    return chunks.where("part = 1").select("id", "list_name")
 
 
 def parts(packed: DataFrame) -> DataFrame:

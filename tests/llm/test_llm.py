@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -120,9 +121,21 @@ def test_pack(spark):
     assert {r["list_name"]: r["chunks"] for r in report.collect()} == {n: len({k for k in loads if k[0] == n}) for n in ("ns", "fix")}
     whole = {r["id"] for r in got if r["part"] > 0}
     assert whole == {i for i, ns, fix in rows if i and (len(set(ns or [])) > 50 or len(set(fix or [])) > 30)}
+    assert sorted((r["id"], r["list_name"]) for r in packing.split_records(chunks).collect()) == [("big", "fix"), *sorted((i, "ns") for i in {r["id"] for r in got if r["part"] and r["list_name"] == "ns"})]
     assert packing.pack(df.limit(0), lim)[0].count() == 0
 
 
+def test_filling_grows_with_lengths_not_containers():
+    rnd = random.Random(4)
+    h = {n: rnd.randint(1, 9) for n in range(1, 200)} | {1: 4000, 2: 700}
+    many = {n: k * 5000 for n, k in h.items()}
+    began = time.time()
+    ps, bound = packing.configurations(many, 300, 150, rounds=5)
+    assert time.time() - began < 20 and len(ps) < 5000 and sum(p.times for p in ps) < 1.02 * bound
+    assert all(sum(p.times * p.take.get(n, 0) for p in ps) == k for n, k in many.items())
+    assert sum(p.times for p in packing.configurations({180: 7, 1: 900}, 300, 150)[0]) == 8  # room is kept for small items
+
+
 # --- 4 ---
 
 
