@@ -44,6 +44,33 @@ def test_consistent_is_stable(text):
     assert unicodedata.normalize("NFC", once) == once
 
 
+@pytest.mark.parametrize(
+    ("text", "want", "fine"),
+    [
+        ("naмas", "naмas", False), ("кas", "кas", False), ("нamas", "нamas", False), ("Δt", "Δt", False), ("пробка", "пробка", True), ("cор", "cop", True),
+        ("ꓚop", "Cop", True), ("Ꭰa", "Da", True), ("日本のテスト", "日本のテスト", True), ("øl", "øl", True), ("mІl0", "mIl0", True),
+    ],
+)
+def test_words_of_two_alphabets(spark, text, want, fine):
+    assert forms.consistent(text) == want and forms.mixed(want) != fine
+    df = spark.createDataFrame([("a", want)], "id string, dial string")
+    assert forms.inconsistent(df, "id", ["dial"]).count() == (not fine)  # what no alphabet can spell is left and reported
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcsxklmnopуеахікмнѕαοτυծօսסꓚᎠéø"), min_size=1, max_size=8).map("".join))
+def test_one_alphabet_a_word_or_the_original(word):
+    got = forms.consistent(word)
+    assert not forms.mixed(got) or got == unicodedata.normalize("NFC", word)
+    assert forms.skeleton(got) == forms.skeleton(word)
+
+
+def test_look_alike_table():
+    known = forms.lookalikes()
+    assert len(known.prototypes) > 6000 and known.prototypes["а"] == "a" and known.prototypes["м"] == "ʍ"
+    assert known.twin("Н", "LATIN") == "H" and known.twin("о", "GREEK") == "ο" and known.twin("ж", "LATIN") is None
+
+
 def test_inconsistent_and_groups(spark):
     rows = [("a", "tai", "tai"), ("b", "tаi", None), ("b", "tаi", None), ("c", "", "ta i"), (None, "x", "x" * 20_000)]
     df = spark.createDataFrame(rows, "id string, dial string, std string").withColumns({"text": F.lit(1), "field": F.lit(2)})
