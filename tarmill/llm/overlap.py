@@ -8,9 +8,9 @@ evaluation text are merged into one candidate, which letter counts and then an e
 
 from __future__ import annotations
 
+import io
 import os
 import re
-import shutil
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -20,12 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.feather
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmill.functions.align import distance
 from tarmill.llm import codes, forms
-from tarmill.runtime import cut, fresh, local_path
+from tarmill.runtime import cut, fresh
 
 LEAST_WORDS = 6
 #: Share of the longer text's characters that may be added, missing or replaced, in percent.
@@ -34,14 +35,14 @@ PERCENT = 15
 SHARD_CHARS = 6_000_000
 #: Texts are indexed by length, in bands of this ratio: a text is searched only where the lengths allow a match.
 BAND = 1.25
-#: A match is extended to the left until it occurs this often or seldomer in the shard, or is ORDER characters long. All its
-#: occurrences are taken in any case. Texts that need more spans use STEP times this, and so on.
+#: A match is extended to the left until it occurs this often or seldomer in the shard, however long it gets. Texts that need
+#: more spans use STEP times this, and so on.
 RARE = 32
 #: Of the spans of a text, one more than the errors allowed is kept, and a share of 1 / SPARE of those errors.
 SPARE = 8
 STEP = 2
 JUMP = 4  # the first characters of a match are looked up in a table
-ORDER = 12  # suffixes are sorted by so many characters
+ORDER = 12  # characters that the first sort of the suffixes looks at
 SEGMENT = 192  # characters of a text that are searched in one row of the vectorised search
 GATHERED = 50_000  # texts searched at once
 
@@ -50,20 +51,20 @@ _ODD = re.compile(r"[^ -~ĄČĘĖĮŠŲŪŽąčęėįšųūž\n\r\t]")
 _SIGN = re.compile(r"[^a-z0-9\s]+")
 
 
-def plain(text: str | None) -> str | None:
+def plain(text: str | None, known: forms.Lookalikes | None = None) -> str | None:
     """A text as it is compared: the consistent form, lower case, no accents and punctuation, single spaces."""
     if text is None:
         return None
-    t = unicodedata.normalize("NFKD", forms.consistent(text).lower())
+    t = unicodedata.normalize("NFKD", (known or forms.lookalikes()).consistent(text).lower())
     return " ".join(_PUNCTUATION.sub(" ", "".join(c for c in t if not unicodedata.combining(c))).split())
 
 
-def comparable(text: str | None) -> str | None:
+def comparable(text: str | None, known: forms.Lookalikes | None = None) -> str | None:
     """plain() of a text, or None if it has fewer than LEAST_WORDS words."""
     if text is None:
         return None
     if _ODD.search(text):
-        t = plain(text)
+        t = plain(text, known)
     else:  # ASCII and letters with marks: what plain() does, faster
         t = unicodedata.normalize("NFKD", text.lower()).encode("ascii", "ignore").decode()
         if _SIGN.search(t):
@@ -83,8 +84,8 @@ _CODE[[ord(c) for c in "0123456789"]] = 28
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Texts as numbers below 32, each text followed by 0, and the start of each text. Rare letters share a number, which can
     only add candidates."""
-    whole = np.frombuffer("\n".join([*texts, ""]).encode("utf-16-le", "surrogatepass"), np.uint16)
-    row = _CODE[whole]
+    whole = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = _CODE[np.minimum(whole, 0xFFFF)]
     row[whole == 10] = 0
     return row, np.concatenate([[0], np.flatnonzero(row == 0) + 1])
 
@@ -95,6 +96,33 @@ def histogram(row: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.bincount(of * 32 + row, minlength=(len(start) - 1) * 32).reshape(-1, 32).astype(np.int32)
 
 
+def _sorted(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from their first ORDER numbers: those that are still equal are sorted by what follows, twice as far
+    each time. Beyond the end of a text no order is needed."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    rank = np.zeros(n + 1, np.int64)
+    first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    rank[order] = np.repeat(first, np.diff(first, append=n))
+    rank[n] = -1
+    left = np.repeat(start[1:], np.diff(start)) - np.arange(n)  # numbers to the end of the text
+    tied, width = order, ORDER
+    while True:
+        tied = tied[left[tied] > width]
+        r = rank[tied]
+        tied = tied[(np.diff(r, prepend=-1) == 0) | (np.diff(r, append=-1) == 0)]
+        if not len(tied):
+            return np.argsort(rank[:n], kind="stable")
+        tied = tied[np.lexsort((rank[np.minimum(tied + width, n)], rank[tied]))]
+        r, after = rank[tied], rank[np.minimum(tied + width, n)]
+        new_group, new = np.diff(r, prepend=-1) != 0, np.diff(after, prepend=-2) != 0
+        at = np.arange(len(tied))
+        begin = np.maximum.accumulate(np.where(new_group, at, 0))
+        inner = np.maximum.accumulate(np.where(new_group | new, at, 0))
+        rank[tied] = r + inner - begin
+        width *= 2
+
+
 def build(texts: list[str]) -> dict[str, np.ndarray]:
     """The index of texts, none of which holds a line end."""
     row, start = letters(texts)
@@ -103,7 +131,7 @@ def build(texts: list[str]) -> dict[str, np.ndarray]:
     padded = np.concatenate([row, np.zeros(ORDER, np.uint8)]).astype(np.uint64)
     for j in range(ORDER):
         key = (key << np.uint64(5)) | padded[j : n + j]
-    order = np.argsort(key, kind="stable")
+    order = _sorted(key, start)
     last = row[order - 1]  # the transform; order 0 wraps to the final separator
     blocks = n // 64 + 1
     bits, before = np.zeros((32, blocks), np.uint64), np.zeros((32, blocks), np.int32)
@@ -113,11 +141,12 @@ def build(texts: list[str]) -> dict[str, np.ndarray]:
         before[c, 1:] = np.cumsum(np.bitwise_count(bits[c]))[:-1]
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=32))[:-1]]).astype(np.int64)
     of = np.searchsorted(start, order, "right") - 1
-    head = (key[order] >> np.uint64(5 * (ORDER - JUMP))).astype(np.int64)
-    jump = np.searchsorted(head, np.arange((1 << 5 * JUMP) + 1)).astype(np.int64)
+    ahead = JUMP if n > 1 << 5 * JUMP else JUMP - 1
+    head = (key[order] >> np.uint64(5 * (ORDER - ahead))).astype(np.int64)
+    jump = np.searchsorted(head, np.arange((1 << 5 * ahead) + 1)).astype(np.int32)
     return {
         "jump": jump, "bits": bits.ravel(), "before": before.ravel(), "first": first, "of": of.astype(np.int32),
-        "at": (order - start[of]).astype(np.int32), "start": start.astype(np.int64), "counts": histogram(row, start),
+        "at": (order - start[of]).astype(np.uint16 if np.diff(start).max(initial=0) < 1 << 16 else np.int32), "start": start.astype(np.int64), "counts": histogram(row, start),
         "size": np.array([n]),
     }
 
@@ -141,6 +170,7 @@ def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, wh
     left = start[text] + k * SEGMENT
     here = np.minimum(left + SEGMENT, start[text] + size[text])
     jump = index["jump"]
+    ahead = (len(jump) - 1).bit_length() // 5
     low, high, end = np.zeros(len(text), np.int64), np.full(len(text), n, np.int64), here.copy()
     out = [(np.zeros(0, np.int64),) * 4]
     while len(text):
@@ -149,19 +179,19 @@ def matches(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray, wh
             text, left, here, low, high, end = (x[go] for x in (text, left, here, low, high, end))
             if not len(text):
                 break
-        begin = (end == here) & (here - left >= JUMP)
+        begin = (end == here) & (here - left >= ahead)
         a, b = np.flatnonzero(begin), np.flatnonzero(~begin)
         head = np.zeros(len(a), np.int64)
-        for j in range(JUMP, 0, -1):
+        for j in range(ahead, 0, -1):
             head = head << 5 | row[here[a] - j]
-        here[a] -= JUMP
+        here[a] -= ahead
         low[a], high[a] = jump[head], jump[head + 1]
         if len(b):
             here[b] -= 1
             c = row[here[b]].astype(np.int64)
             base = index["first"][c]
             low[b], high[b] = base + _rank(index, c, low[b], blocks), base + _rank(index, c, high[b], blocks)
-        done = (high - low <= rare) | (end - here >= ORDER)
+        done = high - low <= rare
         if done.any():
             out.append((text[done], here[done] - start[text[done]], low[done], high[done]))
         low, high, end = np.where(done, 0, low), np.where(done, n, high), np.where(done, here, end)
@@ -225,7 +255,7 @@ def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray,
         x = y
         m = n[i:j]
         suffix = np.arange(total[j] - total[i]) + np.repeat(low[i:j] - total[i:j] + total[i], m)
-        off = index["at"][suffix] - np.repeat(left[i:j], m)
+        off = index["at"][suffix].astype(np.int32) - np.repeat(left[i:j], m)
         near = np.flatnonzero((off >= 0) & (off <= np.repeat(width[i:j], m)))
         which = np.repeat(np.arange(i, j), m)[near]
         e = index["of"][suffix[near]]
@@ -252,24 +282,40 @@ def candidates(index: dict[str, np.ndarray], row: np.ndarray, start: np.ndarray,
 # --- files of shards in the shared folder -----------------------------------------------------------------------------
 
 
-def _save(folder: str, index: dict[str, np.ndarray], keys: list[bytes], texts: list[str]) -> None:
-    """Write an index under its final name in one step; a task that ran before and was lost does no harm."""
-    if os.path.isdir(folder):
+def _save(uri: str, index: dict[str, np.ndarray], keys: list[bytes], texts: list[str]) -> None:
+    """Write an index under its final name in one step; a task that ran before and was lost does no harm. Any file system that
+    Arrow knows will do."""
+    fs, folder = FileSystem.from_uri(uri)
+    if fs.get_file_info(folder).type != FileType.NotFound:
         return
     tmp = f"{folder}-{uuid.uuid4().hex}"
-    os.makedirs(tmp)
+    fs.create_dir(tmp)
     for k, v in index.items():
-        np.save(f"{tmp}/{k}.npy", v)
-    pa.feather.write_feather(pa.table({"key": pa.array(keys, pa.binary()), "text": pa.array(texts, pa.string())}), f"{tmp}/texts.arrow", compression="uncompressed")
+        with fs.open_output_stream(f"{tmp}/{k}.npy") as f:
+            held = io.BytesIO()
+            np.save(held, v)
+            f.write(held.getbuffer())
+    with fs.open_output_stream(f"{tmp}/texts.arrow") as f:
+        pa.feather.write_feather(pa.table({"key": pa.array(keys, pa.binary()), "text": pa.array(texts, pa.string())}), f, compression="uncompressed")
     try:
-        os.rename(tmp, folder)
+        fs.move(tmp, folder)
     except OSError:  # another attempt was first
-        shutil.rmtree(tmp, ignore_errors=True)
+        fs.delete_dir(tmp)
 
 
-def _open(folder: str) -> tuple[dict[str, np.ndarray], pa.Table]:
+def _open(uri: str) -> tuple[dict[str, np.ndarray], pa.Table]:
+    """An index: mapped where the folder is mounted, else read."""
+    fs, folder = FileSystem.from_uri(uri)
     names = ["jump", "bits", "before", "first", "of", "at", "start", "counts", "size"]
-    return {k: np.load(f"{folder}/{k}.npy", mmap_mode="r") for k in names}, pa.feather.read_table(f"{folder}/texts.arrow", memory_map=True)
+    if isinstance(fs, LocalFileSystem):
+        return {k: np.load(f"{folder}/{k}.npy", mmap_mode="r") for k in names}, pa.feather.read_table(f"{folder}/texts.arrow", memory_map=True)
+    read = lambda k: fs.open_input_file(f"{folder}/{k}").read()
+    return {k: np.load(io.BytesIO(read(f"{k}.npy"))) for k in names}, pa.feather.read_table(pa.BufferReader(read("texts.arrow")))
+
+
+def _uri(path: str) -> str:
+    """A folder as a URI; Hadoop writes local ones with one slash."""
+    return path if "://" in path else "file://" + (path[len("file:"):] if path.startswith("file:") else os.path.abspath(path))
 
 
 def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -283,8 +329,9 @@ def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> D
     held = held.where("text <> ''").withColumn("band", F.floor(F.log(F.length("text").cast("double")) / F.log(F.lit(BAND))).cast("int"))
     chars = held.groupBy("band").agg(F.sum(F.length("text") + 1).alias("chars"))
     held = held.join(F.broadcast(chars.select("band", F.ceil(F.col("chars") / shard_chars).cast("int").alias("cuts"))), "band")  # a row for each band
-    folder = local_path(fresh(train.sparkSession, "overlap"))
-    os.makedirs(folder, exist_ok=True)
+    folder = _uri(fresh(train.sparkSession, "overlap"))
+    fs, path = FileSystem.from_uri(folder)
+    fs.create_dir(path)
 
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         band, part = (int(k) for k in key)
@@ -310,9 +357,7 @@ def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> D
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
             keys = b.column(0).chunk(0).cast(pa.binary()) if b.num_rows else pa.array([], pa.binary())
-            one = dict(zip(b.column(1).to_pylist(), range(b.num_rows)))  # copies are searched once
-            keys = keys.take(pa.array(list(one.values()), pa.int64()))
-            texts = np.array(list(one), object)
+            texts = np.array(b.column(1).to_pylist(), object)
             size = np.array([len(t) for t in texts], np.int64)
             longest, shortest = allowed(size * 100 // (100 - PERCENT) + 1) + size, size - allowed(size)
             for least, most, name in shards:
@@ -335,7 +380,9 @@ def near(train: DataFrame, held: DataFrame, shard_chars: int = SHARD_CHARS) -> D
                     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep_t, pa.int64())), found.cast(pa.binary()), pa.array(edits, pa.int32())], ["train_key", "held_key", "edits"])
 
-    return train.where("text <> ''").select("key", "text").mapInArrow(search, "train_key binary, held_key binary, edits int")
+    train = cut(train.where("text <> ''").groupBy("key").agg(F.first("text").alias("text")), "train")  # copies are searched once
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // GATHERED))
+    return train.repartition(parts).select("key", "text").mapInArrow(search, "train_key binary, held_key binary, edits int")
 
 
 # --- records ----------------------------------------------------------------------------------------------------------
@@ -352,9 +399,11 @@ def sides(splits: DataFrame) -> DataFrame:
 def records(clips: DataFrame, splits: DataFrame) -> DataFrame:
     """(id, train, held, key, text): clips that are in some list, with their comparable text; key and text are null for texts
     of fewer than six words. A clip that was loaded several times has as many rows; if its texts differ, each counts."""
+    known = forms.lookalikes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [comparable(t) for t in b.column(1).to_pylist()]
+            texts = [comparable(t, known) for t in b.column(1).to_pylist()]
             keys = [None if t is None else md5(t.encode()).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["id", "key", "text"])
 
