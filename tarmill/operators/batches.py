@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,20 +32,29 @@ def fixed(df: DataFrame, order: list[str], size: int) -> DataFrame:
 
 def greedy(df: DataFrame, key: str, order: str, weight: str, most_rows: int, most_weight: int) -> DataFrame:
     """(key, order, chunk) by filling chunks in order: a new one begins when the current is not empty and would exceed
-    most_rows or most_weight. Null weights are 0. Sequential within a value of key, in parallel over keys."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        chunk, n, total, out = 1, 0, 0, []
-        for w in pdf[weight].fillna(0):
-            if n and (n >= most_rows or total + w > most_weight):
-                chunk, n, total = chunk + 1, 0, 0
-            n, total = n + 1, total + w
-            out.append(chunk)
-        return pdf[[key, order]].assign(chunk=out)
+    most_rows or most_weight. Null weights are 0.
+
+    Rows stream past in order, whatever a key holds; only the current chunk's number, rows and weight are kept.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = pack  # no key
+        chunk = n = total = 0
+        for b in batches:
+            out = []
+            for k, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                w = w or 0
+                if k != now:
+                    now, chunk, n, total = k, 1, 0, 0
+                elif n >= most_rows or total + w > most_weight:
+                    chunk, n, total = chunk + 1, 0, 0
+                n, total = n + 1, total + w
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], [key, order, "chunk"])
 
     t = dict(df.dtypes)
-    return df.select(key, order, weight).groupBy(key).applyInPandas(pack, f"{key} {t[key]}, {order} {t[order]}, chunk long")
+    x = df.select(key, order, weight).repartition(key).sortWithinPartitions(key, order)
+    return x.mapInArrow(pack, f"`{key}` {t[key]}, `{order}` {t[order]}, chunk long")
 
 
 def neighbours(df: DataFrame, chunk: list[str], order: str, same: str, line: str, before: int = 3, after: int = 2) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from tarmill.functions import text
 
 
+SALT = 16  # parts of a frequent prefix
+
+
 def counts(rows: DataFrame, words: str, part: Column) -> DataFrame:
     """(word, read, spon): uses of each word in read and in spontaneous texts; part is a string column of those two values."""
     x = rows.select(part.alias("part"), F.explode(text.words(text.normalise(F.col(words)))).alias("word"))
@@ -90,15 +93,16 @@ def near_miss(words: DataFrame, lexicon: DataFrame, least_read: int = 20, cutoff
     """(word, suggest, score) of unknown words of five letters and more that nearly spell a frequent word with the same first
     letters. lexicon: (word, read, spon).
 
-    Words meet by prefix; a frequent prefix is salted by a hash of the word, and the lexicon side is bounded by what shares a
-    prefix. The best suggestion of each word is kept by a partial aggregation, ties by the greater word.
+    Words meet by prefix and a part, a hash of the unknown word: a frequent prefix is spread over SALT tasks, and the lexicon's
+    words of a prefix go to each. The best suggestion of each word is kept by a partial aggregation, ties by the greater word.
     """
     w = words.select("word").distinct().where((F.length("word") >= 5) & ~F.col("word").contains("+"))
-    w = w.join(lexicon.where("read + spon > 0").select("word"), "word", "left_anti").withColumn("__p", F.substring("word", 1, prefix))
+    w = w.join(lexicon.where("read + spon > 0").select("word"), "word", "left_anti").withColumns({"__p": F.substring("word", 1, prefix), "__s": F.pmod(F.xxhash64("word"), F.lit(SALT))})
     c = lexicon.where(F.col("read") >= least_read).select(F.col("word").alias("suggest"), F.substring("word", 1, prefix).alias("__p"))
+    c = c.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
     # no match of that score can differ more in length
     close = (2 * F.least(F.length("word"), F.length("suggest")) >= cutoff * (F.length("word") + F.length("suggest")))
-    x = w.join(c, "__p").where(close).select("word", "suggest", text.ratio(F.col("suggest"), F.col("word")).alias("score"))
+    x = w.join(c, ["__p", "__s"]).where(close).select("word", "suggest", text.ratio(F.col("suggest"), F.col("word")).alias("score"))
     return x.where(F.col("score") >= cutoff).groupBy("word").agg(F.max(F.struct("score", "suggest")).alias("b")).select("word", "b.suggest", "b.score")
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarmill.functions import text
-from tarmill.runtime import cut
+from tarmill.runtime import cut, running
 
 # Borders of the length bins, in seconds.
 EDGES = [0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30.001]
@@ -87,13 +86,12 @@ def dose_prefix(order: DataFrame, doses: list[float]) -> DataFrame:
 def quota_fill(candidates: DataFrame, targets: DataFrame, cell: list[str], amount: str, seed: int = 2026) -> DataFrame:
     """candidates taken in random order while their cell's quota isn't reached; the row that crosses it is taken too.
 
-    candidates: (id, cell columns, amount); targets: (cell columns, target). Running sums go over a cell; cells are many
-    (categories times length bins).
+    candidates: (id, cell columns, amount); targets: (cell columns, target). Running sums go over buckets of a cell, so cells
+    may be few and large.
     """
     x = candidates.join(F.broadcast(targets.select(*cell, "target")), cell)  # a row for each cell
-    w = Window.partitionBy(*cell).orderBy(shuffled("id", seed=seed), "id")
-    before = F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return x.withColumn("__b", before).where(F.col("__b") < F.col("target")).select(*candidates.columns)
+    x = running(x, cell, shuffled("id", seed=seed), ["id"], amount, "__before")
+    return x.where(F.col("__before") < F.col("target")).select(*candidates.columns)
 
 
 def shortfall(targets: DataFrame, taken: DataFrame, cell: list[str], amount: str) -> DataFrame:
@@ -145,7 +143,3 @@ def cluster_draw(rows: DataFrame, cluster: str, share: float, cap: int | None =
     x = x.where(F.col("size") <= cap_share * F.col("__all")) if cap_share is not None else x
     w = Window.orderBy(shuffled(cluster, seed=seed), cluster).rowsBetween(Window.unboundedPreceding, -1)
     return x.withColumn("__b", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("__b") < share * F.col("__all")).select(cluster, "size")
-
-
-def region_of_speaker(c: Column) -> Column:
-    return text.region_of(c)

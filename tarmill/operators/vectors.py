@@ -121,6 +121,20 @@ def leakage(rows: DataFrame, held: DataFrame, cluster: str, speaker: str) -> Dat
     )
 
 
+def guarded(rest: DataFrame, held: DataFrame, rows: DataFrame, speaker: str, limits: list[float]) -> DataFrame:
+    """(tau, leak_mass, leak_any, dropped): leakage of the held-out rows' speakers into the training rows (rest, with their
+    greatest similarity to a held-out row in sim) that lie below each limit, and the share of training rows beyond it."""
+    tau = F.explode(F.array(*[F.lit(float(v)) for v in limits])).alias("tau")
+    left = rest.select(speaker, "sim", tau).groupBy("tau", speaker).agg(F.count_if(F.col("sim") < F.col("tau")).alias("stay"), F.count(F.lit(1)).alias("rest"))
+    n = rows.groupBy(speaker).agg(F.count(F.lit(1)).alias("n")).join(held.groupBy(speaker).agg(F.count(F.lit(1)).alias("held")), speaker, "left").na.fill(0, ["held"])
+    x = n.select("*", tau).join(left, ["tau", speaker], "left").na.fill(0, ["stay", "rest"])
+    mean = lambda c: F.round(F.sum(c) / F.sum("held"), 6)
+    return x.groupBy("tau").agg(
+        mean(F.col("held") * F.col("stay") / F.col("n")).alias("leak_mass"), mean(F.when(F.col("stay") > 0, F.col("held")).otherwise(0)).alias("leak_any"),
+        F.round(1 - F.sum("stay") / F.sum("rest"), 6).alias("dropped"),
+    )
+
+
 def closest(v: np.ndarray, c: np.ndarray, rows: int = 1024, block: int = 4096) -> np.ndarray:
     """The centroid of greatest product with each vector, the first of equals, in blocks of bounded size."""
     out = np.zeros(len(v), np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmill.plans import other_queries, review_queries, split_queries, text_queries  # noqa: F401
+from tarmill.plans import file_queries, other_queries, review_queries, split_queries, text_queries  # noqa: F401
 from tarmill.plans.registry import QUERIES, SQL, Query
 
 

@@ -173,12 +173,20 @@ def dose_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 CELL = ["gender", "age_group", "bin"]
 TARGET_SQL = f"""t as (select gender, age_group, {BIN_SQL} as bin, sum(duration) * 0.3 as target from {CLIPS_SQL} where duration is not null and gender is not null and age_group is not null group by 1, 2, 3)"""
-CAND_SQL = f"""c as (select id, gender, age_group, {BIN_SQL} as bin, duration from {CLIPS_SQL} where duration between 0.5 and 30 and gender is not null and age_group is not null and left(id, 1) <> 'A')"""
+HELD_TEXT_SQL = rf"""(select distinct t from (select trim(regexp_replace(text_normalized, '\s+', ' ', 'g')) as t from {CLIPS_SQL} join {IDS_SQL} using (id) where split_id in ('phone.test.v1', 'phone.dev.v1'))
+  where len(string_split(t, ' ')) >= 6)"""
+CAND_SQL = rf"""c as (select id, gender, age_group, {BIN_SQL} as bin, duration from {CLIPS_SQL} where duration between 0.5 and 30 and gender is not null and age_group is not null and left(id, 1) <> 'A'
+    and trim(regexp_replace(text_normalized, '\s+', ' ', 'g')) <> '' and trim(regexp_replace(text_normalized, '\s+', ' ', 'g')) not in (select t from {HELD_TEXT_SQL} where t is not null))"""
 
 
 def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = clips(spark, d).where("duration is not null and gender is not null and age_group is not null").withColumn("bin", text.length_bin(F.col("duration"), splits.EDGES))
     target = x.groupBy(*CELL).agg((F.sum("duration") * 0.3).alias("target"))
+    # candidates that have no text or repeat one of the other data's held-out texts of six words and more are no candidates
+    plain = F.trim(F.regexp_replace("text_normalized", r"\s+", " "))
+    listed = lists(spark, d).where(F.col("split_id").isin("phone.test.v1", "phone.dev.v1"))
+    held = clips(spark, d).join(listed, "id").select(plain.alias("__t")).where(F.size(F.split("__t", " ")) >= 6).distinct()
+    x = x.withColumn("__t", plain).where("__t <> ''").join(held, "__t", "left_anti")
     cand = x.where((F.col("duration").between(0.5, 30)) & (text.region_of(F.col("id")) != "A")).select("id", *CELL, "duration")
     return cand, target
 
@@ -204,17 +212,6 @@ def quota_back_fill(spark: SparkSession, d: str) -> DataFrame:
     return splits.back_fill(spare, missing, ["gender", "age_group"], "bin", "duration")
 
 
-@query(f"""
-with x as (select id, left(id, 9) as c from {CLIPS_SQL} where contains(id, '-')), s as (select c, count(*) as size from x group by c), n as (select sum(size) as n from s),
-  o as (select c, size, coalesce(sum(size) over (order by {SHUFFLE.format('c')}, c rows between unbounded preceding and 1 preceding), 0) as b from s where size <= 400)
-select c as session, size from o, n where b < 0.1 * n""")
-def cluster_draw(spark: SparkSession, d: str) -> DataFrame:
-    """Whole sessions, of 400 clips at most, up to a tenth of all clips. The limit is that of its SQL and excludes more sessions
-    as the table grows; session_draw has none."""
-    x = clips(spark, d).where(text.is_dialect_id(F.col("id"))).select(text.session_of(F.col("id")).alias("session"))
-    return splits.cluster_draw(x, "session", 0.1, cap=400)
-
-
 @query(f"""
 with x as (select id, left(id, 9) as c from {CLIPS_SQL} where contains(id, '-')), s as (select c, count(*) as size from x group by c), n as (select sum(size) as n from s),
   o as (select c, size, coalesce(sum(size) over (order by {SHUFFLE.format('c')}, c rows between unbounded preceding and 1 preceding), 0) as b from s)
@@ -264,3 +261,12 @@ def excess_audio(spark: SparkSession, d: str) -> DataFrame:
     """Clips whose audio another clip has already."""
     x = table(spark, d, "clips").groupBy("id").agg(F.sha1(F.min("audio.bytes")).alias("h"))
     return x.agg((F.count(F.lit(1)) - F.countDistinct("h")).alias("excess"))
+
+
+@query(f"""
+select c.region, count(*) as clips, count(distinct c.speaker_id) as speakers, round(avg(f.sec), 6) as mean_sec from {CLIPS_SQL} c join {FACTS_SQL} f on f.speaker_id = c.speaker_id group by 1""")
+def strict_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Clips by region with the facts of their speakers, each of which must be known."""
+    x = clips(spark, d).where("speaker_id is not null").select("id", "speaker_id", "region")
+    y = joins.strict(x, facts(spark, d).select("speaker_id", "sec"), "speaker_id")
+    return y.groupBy("region").agg(F.count(F.lit(1)).alias("clips"), F.countDistinct("speaker_id").alias("speakers"), F.round(F.avg("sec"), 6).alias("mean_sec"))

@@ -61,21 +61,15 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def local_path(uri: str) -> str:
-    """The path of a file:// URI, for folders that are mounted on every machine; other file systems are refused."""
-    if "://" in uri and not uri.startswith("file://"):
-        raise ValueError(f"{uri} is not a mounted folder")
-    return uri[len("file://"):] if uri.startswith("file://") else uri[len("file:"):] if uri.startswith("file:") else uri
-
-
-def ranked(df: DataFrame, keys: list[str], order: Column, name: str = "rank", buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: Column, name: str = "rank", buckets: int | None = None) -> DataFrame:
     """row_number over keys in the order of a hash, with no task that holds a whole group.
 
     order must be a 64-bit integer column that is close to uniform, such as xxhash64. Rows of a key are cut into buckets by
     the high bits of order; only the counts by (key, bucket) meet in one window, so a key holding most rows is spread over
-    the buckets. Rows of equal order within a key are numbered in no fixed order; make order unique where that matters.
+    the buckets; there are four for each shuffle partition, so the rows of one fall as a job is given more partitions. Rows of equal order within a key are numbered in no fixed order; make order unique where that matters.
     """
     o, b = f"__o_{name}", f"__b_{name}"
+    buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = (1 << 63) // buckets * 2
     x = df.withColumn(o, order).withColumn(b, F.floor(F.col(o) / F.lit(float(width))).cast("int"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -83,3 +77,15 @@ def ranked(df: DataFrame, keys: list[str], order: Column, name: str = "rank", bu
     joined = x.alias("x").join(base.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys] + [F.col(f"x.{b}") == F.col(f"y.{b}")])
     inner = Window.partitionBy(*[f"x.{k}" for k in keys], f"x.{b}").orderBy(f"x.{o}")
     return joined.select(*[F.col(f"x.{c}") for c in df.columns], (F.row_number().over(inner) + F.col("__base")).alias(name))
+
+
+def running(df: DataFrame, keys: list[str], order: Column, ties: list[str], amount: str, name: str) -> DataFrame:
+    """df with the sum of amount over the rows before each in its key, in the order of a hash below 2^60 and of ties, with no
+    task that holds a whole key: sums by (key, bucket of the hash) meet in one window, and rows are ordered within a bucket."""
+    buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = df.withColumn("__o", order).withColumn("__b", F.floor(F.col("__o") / F.lit(float((1 << 60) // buckets))).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(*keys, "__b").agg(F.sum(amount).alias("__n")).select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    joined = x.alias("x").join(base.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "__b"]])
+    inner = Window.partitionBy(*[f"x.{k}" for k in [*keys, "__b"]]).orderBy("x.__o", *[f"x.{t}" for t in ties]).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*[F.col(f"x.{c}") for c in df.columns], (F.coalesce(F.sum(f"x.{amount}").over(inner), F.lit(0)) + F.col("__base")).alias(name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import re
@@ -10,7 +9,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,19 +36,32 @@ def split_file(folder: str, split_id: str) -> str:
     return os.path.join(folder, re.sub(r"\.v[^.]*$", "", split_id) + ".txt")
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of a pattern in order of name, on any file system that Spark reads; none if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    got = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in got or [])
+
+
+def place() -> Column:
+    """Where a row of files read by Spark stands: file, split of the file, and a number that rises within the split. Rows in the
+    order of this are in the order of file names and lines, however Spark packs splits into tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def with_line(df: DataFrame) -> DataFrame:
-    """Rows of files with their file and place; the place orders the rows of one file."""
-    return df.withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()})
+    """Rows of files with their place, a struct that orders them by file name and line."""
+    return df.withColumn("place", place())
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
-    """JSON lines; with a key, the last line of each key. Lines that aren't JSON keep nulls and their text in `_corrupt_record`
+    """JSON lines; with a key, the last line of each key, of the last file by name. Lines that aren't JSON keep nulls and their text in `_corrupt_record`
     if the schema has that column."""
     df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     if key is None:
         return df
     cols = [c for c in df.columns if c != key]
-    x = df.withColumn("__n", F.monotonically_increasing_id())
+    x = df.withColumn("__n", place())
     return x.groupBy(key).agg(F.max_by(F.struct(*cols), "__n").alias("r")).select(key, "r.*")
 
 
@@ -65,8 +77,8 @@ def layer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, pattern: str, schema: str, exclude: DataFrame | None = None) -> DataFrame:
-    """JSON lines of all files of a pattern, without the ids in exclude."""
-    x = spark.read.schema(schema).json(sorted(glob.glob(pattern)))
+    """JSON lines of all files of a pattern with their place, see with_line(), without the ids in exclude."""
+    x = with_line(spark.read.schema(schema).json(found(spark, pattern)))
     return x if exclude is None else x.join(exclude.select("id"), "id", "left_anti")
 
 
@@ -110,7 +122,7 @@ def spoken_pairs(spark: SparkSession, tar: str, table: str) -> DataFrame:
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """(sha256, name) of manifest lines."""
-    x = spark.read.text(sorted(glob.glob(pattern)))
+    x = spark.read.text(found(spark, pattern))
     parts = F.split(F.trim("value"), r"\s+", 2)
     return x.where(F.trim("value") != "").select(parts[0].alias("sha256"), parts[1].alias("name"))
 
@@ -129,9 +141,9 @@ def document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parts_or_whole(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A file if it is there, else its numbered parts path.p00, path.p01, ... in order, else None."""
-    found = [path] if os.path.exists(path) else sorted(glob.glob(path + ".p[0-9][0-9]"))
-    return spark.read.schema(schema).json(found) if found else None
+    """A file if it is there, else its numbered parts path.p00, path.p01, ..., with the place of each row, else None."""
+    files = found(spark, path) or found(spark, path + ".p[0-9][0-9]")
+    return with_line(spark.read.schema(schema).json(files)) if files else None
 
 
 def probed(df: DataFrame, content: str, out: str = "duration") -> DataFrame:

@@ -23,17 +23,23 @@ def sorted_ids(df: DataFrame, path: str, column: str = "id") -> str:
     return h.hexdigest()
 
 
+#: Values as they are: blanks around them stay, a null differs from an empty text.
+EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""', "nullValue": ""}
+
+
 def jsonl(df: DataFrame, path: str) -> None:
     """JSON lines, letters as they are, null fields left out."""
     df.write.mode("overwrite").json(path)
 
 
 def tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    """A table with tabs and no quotes, in which nulls and empty texts are the same."""
+    df.write.mode("overwrite").options(**EXACT | {"emptyValue": ""}).option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A CSV table with a header; texts may hold quotes and line ends."""
+    df.write.mode("overwrite").options(**EXACT).option("header", True).option("escape", '"').csv(path)
 
 
 def append_checked(df: DataFrame, path: str) -> None:

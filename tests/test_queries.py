@@ -14,7 +14,8 @@ def test_query_equals_its_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, data, name):
-    assert QUERIES[name](spark, data).count() >= 0
+    rows = QUERIES[name](spark, data).collect()
+    assert rows and any(v is not None for r in rows for v in r)
 
 
 def test_entry_module_agrees():

@@ -29,6 +29,21 @@ def test_readers(spark, tmp_path):
     assert {r["t"]: r["id"] for r in e.collect()} == {"a": "x-0000", "b": "x-0001"}
 
 
+def test_last_line_of_the_last_file(spark, tmp_path):
+    """However files are packed into tasks: the largest is taken first, and a file may have several splits."""
+    line = '{{"id":"{}","t":"{}","pad":"{}"}}\n'
+    for name, n in (("a", 1), ("b", 400), ("c", 3), ("d", 40)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(line.format(k, f"{name}{j}", "x" * 50) for j in range(n) for k in ("p", "q")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = readers.jsonl(spark, str(tmp_path / "*.jsonl"), "id string, t string", "id").collect()
+        rows = readers.corpus(spark, str(tmp_path / "*.jsonl"), "id string, t string").orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["id"]: r["t"] for r in got} == {"p": "d39", "q": "d39"}
+    assert [r["t"] for r in rows] == [f"{f}{j}" for f, n in (("a", 1), ("b", 400), ("c", 3), ("d", 40)) for j in range(n) for _ in "pq"]
+
+
 def test_tar_and_probe(spark, tmp_path):
     wav = b"RIFF" + struct.pack("<I", 36 + 16000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 16000) + bytes(16000)
     with tarfile.open(tmp_path / "a.tar", "w") as t:
