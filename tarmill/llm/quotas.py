@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarmill.llm import codes
+from tarmill.operators.splits import shuffled
 from tarmill.runtime import ranked
 
 LEAF = ["gender", "age_group"]
@@ -79,5 +80,6 @@ def draw(targets: DataFrame, speakers: DataFrame, seed: int = 2026) -> DataFrame
     """
     plan = allocation(targets, speakers).where("taken > 0").select("plan_id", *LEAF, "taken")
     x = population(speakers).join(F.broadcast(plan), LEAF)  # a row for each target: bounded by the plans
-    r = ranked(x, ["plan_id", *LEAF], F.xxhash64(F.lit(seed), F.col("plan_id"), F.col("speaker_id")))
+    order = (shuffled("plan_id", "speaker_id", seed=seed) - (1 << 59)) * 16  # all 64 bits are used
+    r = ranked(x, ["plan_id", *LEAF], order)
     return r.where("rank <= taken").select("plan_id", "speaker_id", *LEAF)

@@ -23,7 +23,33 @@ _POPULATION = rf"""
     where speaker is not null group by speaker having max(g) is not null and max(a) is not null),
   have as (select gender, age_group, count(*) n from pop group by 1, 2)"""
 
+_SHARED = rf"""{_POPULATION},
+  t as (
+    select plan_id, gender, age_group, size::bigint as sample_size, greatest(coalesce(min_count, 0), ceil(coalesce(target_share, 0)::decimal(18, 8) * size))::bigint as quota, coalesce(n, 0) as available
+    from (select distinct plan_id, gender, age_group, target_share, min_count, floor(coalesce(sample_fraction, 0)::decimal(18, 8) * (select count(*) from pop)) as size from sample_targets
+      where plan_id is not null and gender is not null and age_group is not null) left join have using (gender, age_group)),
+  o as (select *, least(quota, available) as own, available - least(quota, available) as spare, quota - least(quota, available) as unmet from t),
+  s as (
+    select *, greatest(0, least(spare, owed - before)) as to_siblings from (
+      select *, sum(unmet) over (partition by plan_id, gender) as owed,
+        coalesce(sum(spare) over (partition by plan_id, gender order by spare desc, age_group rows between unbounded preceding and 1 preceding), 0) as before from o)),
+  u as (
+    select * exclude (owed, before), spare - to_siblings as rest, case when row_number() over (partition by plan_id, gender order by age_group) = 1 then owed - sum(to_siblings) over (partition by plan_id, gender) else 0 end as up from s),
+  plan as (
+    select *, own + to_siblings + to_cousins as taken from (
+      select *, greatest(0, least(rest, owed - before)) as to_cousins from (
+        select *, sum(up) over (partition by plan_id) as owed,
+          coalesce(sum(rest) over (partition by plan_id order by rest desc, gender, age_group rows between unbounded preceding and 1 preceding), 0) as before from u)))"""
+
 SQL = {
+    "p2_report": f"""with {_SHARED}
+select plan_id, gender, age_group, sample_size, quota, available, own, to_siblings::bigint as to_siblings, to_cousins::bigint as to_cousins, taken::bigint as taken, available < quota as short from plan""",
+    "p2_sample": f"""with {_SHARED},
+  r as (
+    select plan_id, speaker as speaker_id, gender, age_group, taken,
+      row_number() over (partition by plan_id, gender, age_group order by ('0x' || substr(md5('2026|' || plan_id || '|' || speaker), 1, 15))::bigint) as nth
+    from pop join plan using (gender, age_group))
+select plan_id, speaker_id, gender, age_group from r where nth <= taken""",
     "p2_found": rf"""
 with {_POPULATION},
   t as (
