@@ -104,6 +104,21 @@ def length_bin(c: Column, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= c)) - 1
 
 
+def integer_answers(c: Column) -> Column:
+    """The whole numbers by whole number of the first flat JSON object in a text, after its last `</think>`; an empty map where
+    there is none or a key or value is no number. Of repeated keys the last counts; fractions are cut."""
+    m = F.from_json(F.regexp_extract(F.element_at(F.split(c, "</think>"), -1), r"\{[^{}]*\}", 0), "map<string,string>")
+    e = F.transform(F.map_entries(m), lambda x: F.struct(F.trim(x["key"]).try_cast("int").alias("key"), F.trim(x["value"]).try_cast("double").cast("int").alias("value")))
+    last = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda z: z["key"] == x["key"]))
+    good = F.forall(e, lambda x: x["key"].isNotNull() & x["value"].isNotNull())
+    return F.when(F.coalesce(good, F.lit(False)), F.map_from_entries(last)).otherwise(F.create_map().cast("map<int,int>"))
+
+
+def minute(c: Column) -> Column:
+    """A time as it stands in ledgers, to the minute."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm")
+
+
 @F.pandas_udf(DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float | None:

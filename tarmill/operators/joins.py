@@ -104,6 +104,17 @@ def positional(rows: DataFrame, key: list[str], left: str, right: str, names: tu
     return x.select(*key, "pos", F.col("z.a").alias(names[0]), F.col("z.b").alias(names[1]))
 
 
+def disordered(given: DataFrame, got: DataFrame, key: str, given_order: list[str], got_order: list[str]) -> DataFrame:
+    """(key, given_at, got_at) of keys that are once on both sides and stand at different places, from 0, of what both share."""
+    from tarmill.operators.batches import numbered
+
+    single = lambda x: x.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(key)
+    both = single(given).join(single(got), key)
+    a = numbered(given.join(both, key).select(key, *[c for c in given_order if c != key]), given_order, "given_at").select(key, "given_at")
+    b = numbered(got.join(both, key).select(key, *[c for c in got_order if c != key]), got_order, "got_at").select(key, "got_at")
+    return a.join(b, key).where("given_at <> got_at").select(key, "given_at", "got_at")
+
+
 def reconcile(given: DataFrame, got: DataFrame, key: str) -> DataFrame:
     """(key, status) of every key that is not once on both sides: missing, extra, or duplicate (more often among got than
     given). A null key is compared like any other."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmill.functions import text
-from tarmill.operators import batches, splits, tables, vectors
+from tarmill.operators import batches, joins, splits, tables, vectors
 from tarmill.plans.registry import query
 from tarmill.plans.split_queries import SHUFFLE
 from tarmill.runtime import table
@@ -195,3 +195,56 @@ def recovered_counts(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events by hour and type: the batch form of the streaming aggregate (an extension)."""
     return windows.counts(table(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 6))
+
+
+@query("""
+with g as (select id, min(queued_at) as queued_at from std_queue where id is not null group by id having count(*) = 1),
+  x as (select id, row_number() over (order by id) - 1 as given_at, row_number() over (order by queued_at nulls first, id) - 1 as got_at from g)
+select id, given_at, got_at from x where given_at <> got_at""")
+def order_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Queue records that were queued out of the order of their ids."""
+    q = table(spark, d, "std_queue").select("id", "queued_at").where("id is not null")
+    return joins.disordered(q, q, "id", ["id"], ["queued_at", "id"])
+
+
+@query("select distinct id, strftime(queued_at, '%Y-%m-%d %H:%M') as at from std_queue")
+def ledger_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """The minute at which each record was queued, as ledgers have it."""
+    return table(spark, d, "std_queue").select("id", text.minute(F.col("queued_at")).alias("at")).distinct()
+
+
+@query("""
+with q as (select distinct id, list_filter(ns, lambda p: p is not null) as p from std_queue where len(list_filter(ns, lambda p: p is not null)) > 0),
+  x as (select id, p, unnest(range(1, len(p) + 1)) as i from q)
+select id, p[i] as place, max(i)::int as pick from x group by id, p, p[i]""")
+def service_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Picks read from answers of a service that thinks aloud, with the queue's places in them."""
+    q = table(spark, d, "std_queue").select("id", F.array_compact("ns").alias("p")).where(F.size("p") > 0).distinct()
+    body = F.array_join(F.transform("p", lambda p, i: F.concat(F.lit('"'), p.cast("string"), F.lit('": "'), (i + 1).cast("string"), F.lit('"'))), ", ")
+    a = q.select("id", F.concat(F.lit('<think>{"0": 9}</think> Answer: {'), body, F.lit("} {}")).alias("answer"))
+    return a.select("id", F.explode(text.integer_answers(F.col("answer"))).alias("place", "pick"))
+
+
+_SHARES = "select l_returnflag as model, l_linenumber as tag, 100.0 * count(*) filter (l_discount > 0.05) / count(*) as p from lineitem group by 1, 2"
+
+
+@query(f"""
+with m as ({_SHARES}), r as (select model, p as ref from m where tag = 1), b as (select tag, p - ref as base from m join r using (model) where model = 'A' and tag <> 1)
+select model, tag, round(100 * (base - (p - ref)) / nullif(base, 0), 3) as gap_closed, round(p / nullif(ref, 0), 6) as ratio from m join r using (model) join b using (tag) where model <> 'A'""")
+def gap_table(spark: SparkSession, d: str) -> DataFrame:
+    """How far the gap of each tag to the reference tag closed against the base model, and the ratio of the two."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("tag")).agg((100 * F.count_if(F.col("l_discount") > 0.05) / F.count(F.lit(1))).alias("p"))
+    m = m.join(m.where("tag = 1").select("model", F.col("p").alias("ref")), "model")  # a row for each model and tag
+    base = m.where("model = 'A' and tag <> 1").select("tag", F.col("p").alias("bp"), F.col("ref").alias("br"))
+    x = m.where("model <> 'A'").join(base, "tag")
+    return x.select("model", "tag", F.round(tables.gap_closed(F.col("bp"), F.col("br"), F.col("p"), F.col("ref")), 3).alias("gap_closed"), F.round(F.col("p") / F.nullif(F.col("ref"), F.lit(0)), 6).alias("ratio"))
+
+
+@query("""
+with m as (select l_linenumber as dose, avg(l_quantity) as v from lineitem group by 1), e as (select arg_min(v, dose) as first, arg_max(v, dose) as last from m)
+select dose, round(100 * (first - v) / nullif(first - last, 0), 3) as gain from m, e""")
+def dose_gains(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the whole gain between the least and the greatest dose that each dose reaches."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("dose")).agg(F.avg("l_quantity").alias("v"))
+    e = m.agg(F.min_by("v", "dose").alias("first"), F.max_by("v", "dose").alias("last"))  # one row
+    return m.crossJoin(e).select("dose", F.round(tables.dose_gain(F.col("first"), F.col("last"), F.col("v")), 3).alias("gain"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarmill import runtime
 from tarmill.operators import batches, joins, lexicon, splits, standardise, tables, vectors
 from tarmill.operators.components import components
 from tarmill.runtime import ranked
@@ -208,3 +209,45 @@ def test_every_vector_counts_in_clusters(spark):
     small = df.where("id < 300")
     a, b = [{frozenset(r[0]) for r in vectors.cluster(small.repartition(n), "id", "v", "b", micro=5, threshold=0.3).groupBy("cluster").agg(F.collect_list("id")).collect()} for n in (1, 6)]
     assert a == b
+
+
+def test_greedy_streams_across_batches(spark):
+    rows = [("a", k, k % 7) for k in range(500)] + [(None, 1, 5), (None, 2, None), ("b", 1, 99)]
+    df = spark.createDataFrame(rows, "k string, o int, w int").withColumn("chunk", F.lit("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r["k"], r["o"]): r["chunk"] for r in batches.greedy(df, "k", "o", "w", 10, 25).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    loads: dict = {}
+    for k, o, w in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        loads.setdefault((k, got[k, o]), []).append(w or 0)
+    assert len(got) == len(rows) and all(len(v) == 1 or (len(v) <= 10 and sum(v) <= 25) for v in loads.values())
+    chunks = [v for (k, _), v in sorted(loads.items(), key=lambda x: (str(x[0][0]), x[0][1])) if k == "a"]
+    assert all(len(a) == 10 or sum(a) + b[0] > 25 for a, b in zip(chunks, chunks[1:]))  # none was closed too early
+
+
+def test_running_sums_and_ranks(spark):
+    df = spark.createDataFrame([("hot" if k % 3 else None, f"r{k}", float(k % 5)) for k in range(400)], "k string, id string, w double")
+    got = runtime.running(df, ["k"], splits.shuffled("id"), ["id"], "w", "before").withColumn("o", splits.shuffled("id")).collect()
+    for key in ("hot", None):
+        total = 0.0
+        for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["o"]):
+            assert r["before"] == total
+            total += r["w"]
+    assert len(got) == 400 and runtime.running(df.limit(0), ["k"], splits.shuffled("id"), ["id"], "w", "before").count() == 0
+
+
+def test_disordered(spark):
+    a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("d", 5), ("e", 6)], "id string, n int")
+    b = spark.createDataFrame([("a", 1), ("c", 2), ("b", 3), ("x", 4), ("e", 5)], "id string, n int")
+    assert sorted(map(tuple, joins.disordered(a, b, "id", ["n"], ["n"]).collect())) == [("b", 1, 2), ("c", 2, 1)]
+    assert joins.disordered(a, a.limit(0), "id", ["n"], ["n"]).count() == 0
+
+
+def test_guarded(spark):
+    rows = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("t", 4), ("u", 5)], "sp string, id int")
+    held = rows.where("id in (1, 4)")
+    rest = spark.createDataFrame([("s", 0.9), ("s", 0.1), ("u", 0.5)], "sp string, sim double")
+    got = {r["tau"]: (r["leak_mass"], r["leak_any"], r["dropped"]) for r in vectors.guarded(rest, held, rows, "sp", [0.5, 2.0]).collect()}
+    assert got == {0.5: (0.166667, 0.5, 0.666667), 2.0: (0.333333, 0.5, 0.0)}
