@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tarmill.llm import codes
 from tarmill.operators.components import components
-from tarmill.runtime import cut
+from tarmill.operators.splits import shuffled
+from tarmill.runtime import cut, running
 
 SPLITS = {"train": 0.8, "dev": 0.1, "test": 0.1}
 
@@ -68,13 +69,45 @@ def differenced(weights: list[float], bins: int) -> list[int]:
     return out
 
 
+def evened(placed: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """placed (person, region, weight, side) with persons moved from sides above their share of a region to sides below it.
+
+    How much goes where is settled for each region from one sum a side; persons go in the order of a hash as long as they fit,
+    by sums over buckets, so no task holds a side.
+    """
+
+    def wanted(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = dict.fromkeys(shares, 0.0) | dict(zip(pdf["side"], pdf["have"]))
+        over = {k: have[k] - shares[k] * sum(have.values()) for k in shares}
+        takers = {k: -v for k, v in over.items() if v < 0}
+        out = []
+        for side, give in over.items():
+            low = 0.0
+            for to in takers:
+                part = min(give - low, takers[to])
+                if part > 0:
+                    out.append((pdf["region"].iloc[0], side, to, low, low + part))
+                    low, takers[to] = low + part, takers[to] - part
+        return pd.DataFrame(out, columns=["region", "side", "to", "low", "high"])
+
+    sums = placed.groupBy("region", "side").agg(F.sum("weight").alias("have"))
+    moves = cut(sums.groupBy("region").applyInPandas(wanted, "region string, side string, to string, low double, high double"), "moves")  # a few rows a region
+    most = moves.groupBy("region", "side").agg(F.max("high").alias("most"))
+    light = placed.join(F.broadcast(most), ["region", "side"]).where(F.col("weight") <= F.col("most")).drop("most")
+    light = running(light, ["region", "side"], shuffled("person"), ["person"], "weight", "before")
+    fits = (F.col("before") >= F.col("low")) & (F.col("before") + F.col("weight") <= F.col("high"))
+    to = light.join(F.broadcast(moves), ["region", "side"]).where(fits).select("person", "to")
+    return placed.join(to, "person", "left").select("person", "region", "weight", F.coalesce("to", "side").alias("side"))
+
+
 def assign(speakers: DataFrame, links: DataFrame, weights: DataFrame, splits: dict[str, float] | None = None, bins: int = 40, group: int = 4000) -> DataFrame:
     """(speaker_id, person, region, side) for each speaker of speakers, stratified by region.
 
     weights: (speaker_id, weight), at most one row a code; codes without a row weigh 1. A person's region is the one
     of most of their weight, the first by name on a tie; unknown regions form a stratum of their own. Persons of a region
     are spread over groups of about `group` by a hash, so no task holds a whole region; each group is differenced into
-    bins, and the bins of a region go, heaviest first, to the split that is furthest below its share.
+    bins, and the bins of a region go, heaviest first, to the split that is furthest below its share. What whole bins leave
+    uneven, single persons even out.
     """
     shares = splits or SPLITS
     s = speakers.select(codes.code(F.col("speaker_id")).alias("speaker_id"), F.coalesce(codes.region(F.col("region")), F.lit("?")).alias("region")).where("speaker_id is not null")
@@ -104,5 +137,6 @@ def assign(speakers: DataFrame, links: DataFrame, weights: DataFrame, splits: di
         return pdf.assign(side=sides)[["region", "g", "bin", "side"]]
 
     sides = binned.groupBy("region", "g", "bin").agg(F.sum("weight").alias("weight")).groupBy("region").applyInPandas(allocate, "region string, g long, bin int, side string")
-    placed = binned.join(sides, ["region", "g", "bin"]).select("person", F.col("region").alias("stratum"), "side")
+    placed = evened(cut(binned.join(sides, ["region", "g", "bin"]).select("person", "region", "weight", "side"), "placed"), shares)
+    placed = placed.select("person", F.col("region").alias("stratum"), "side")
     return x.select("speaker_id", "person").join(placed, "person").select("speaker_id", "person", F.col("stratum").alias("region"), "side")

@@ -189,6 +189,16 @@ def test_torn_and_assign(spark):
     assert abs(got["train"] / total - 0.8) < 0.08 and abs(got["dev"] / total - 0.1) < 0.06
 
 
+def test_evened(spark):
+    rows = [(f"p{k}", "r", float(1 + k % 4), "train") for k in range(300)] + [("big", "r", 400.0, "train"), ("d", "r", 1.0, "dev"), ("q", "s", 3.0, "test")]
+    got = together.evened(spark.createDataFrame(rows, "person string, region string, weight double, side string"), together.SPLITS).collect()
+    assert len(got) == len(rows) and next(r["side"] for r in got if r["person"] == "big") == "train"
+    w = {k: sum(r["weight"] for r in got if r["region"] == "r" and r["side"] == k) for k in together.SPLITS}
+    total = sum(w.values())
+    assert all(abs(w[k] / total - share) < 0.01 for k, share in together.SPLITS.items())
+    assert together.evened(spark.createDataFrame([], "person string, region string, weight double, side string"), together.SPLITS).count() == 0
+
+
 # --- 5 ---
 
 
