@@ -1,4 +1,4 @@
-"""Vocabulary mining: word counts, majority maps, variant decisions, contexts, near misses, rewrite rules, context classifier."""
+"""Vocabulary mining: word counts, majority maps, variant decisions, contexts, near misses, rewrite rules, context features."""
 
 from __future__ import annotations
 
@@ -168,27 +168,3 @@ def features(pairs: DataFrame, key: list[str], word: str = "dial") -> DataFrame:
         F.concat(F.lit("ns1="), tail("__n", 1)), F.concat(F.lit("n2="), "__m"), F.concat(F.lit("pos="), "__place"),
     )
     return x.withColumn("features", made).drop("__p", "__n", "__m", "__place")
-
-
-def context_model(examples: DataFrame, form: str = "dial", label: str = "std", least: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Naive Bayes counts of forms with at least `least` examples: (form, label, prior, n, tot, v) and (form, label, feature, c).
-
-    prior and n count examples of the label and of the form, tot the feature uses of the label, v the different features.
-    """
-    e = examples.select(F.col(form).alias("form"), F.col(label).alias("label"), "features")
-    n = e.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    prior = e.join(n, "form").groupBy("form", "label", "n").agg(F.count(F.lit(1)).alias("prior"))
-    c = e.join(n.select("form"), "form", "left_semi").select("form", "label", F.explode("features").alias("feature")).groupBy("form", "label", "feature").agg(F.count(F.lit(1)).alias("c"))
-    tot = c.groupBy("form", "label").agg(F.sum("c").alias("tot"))
-    v = c.groupBy("form").agg(F.countDistinct("feature").alias("v"))
-    return prior.join(tot, ["form", "label"]).join(v, "form"), c
-
-
-def predict(rows: DataFrame, model: tuple[DataFrame, DataFrame], key: list[str], form: str = "dial") -> DataFrame:
-    """(key, predicted) of rows (key, form, features) whose form is modelled: log prior plus logs of smoothed feature shares."""
-    priors, c = model
-    x = rows.select(*key, F.col(form).alias("form"), "features").join(priors, "form")
-    y = x.select(*key, "form", "label", "prior", "n", "tot", "v", F.explode("features").alias("feature")).join(c, ["form", "label", "feature"], "left")
-    part = F.log((F.coalesce("c", F.lit(0)) + 0.5) / (F.col("tot") + 0.5 * F.col("v")))
-    s = y.groupBy(*key, "form", "label").agg((F.log(F.first("prior") / F.first("n")) + F.sum(part)).alias("s"))
-    return s.groupBy(*key, "form").agg(F.max_by("label", F.struct("s", "label")).alias("predicted"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmill.functions import text
-from tarmill.operators import batches, joins, lexicon, scoring, standardise
+from tarmill.operators import batches, bayes, joins, lexicon, scoring, standardise
 from tarmill.plans import score_sql
 from tarmill.plans.registry import query
 from tarmill.plans.score_sql import N
@@ -243,13 +243,12 @@ def context_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def context_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy of naive Bayes and of the majority form, on silver words, after training on the other tiers."""
-    p = lexicon.features(word_pairs(spark, d).distinct(), ["id", "tier"])
-    train, test = p.where("tier <> 'silver'"), p.where("tier = 'silver'")
-    votes = lexicon.vote(train)
-    open_ = votes.where("decision = 'ctx'").select(F.col("form").alias("dial"), F.col("std").alias("majority"))
-    train, test = train.join(open_.select("dial"), "dial", "left_semi"), test.join(open_, "dial")
-    got = lexicon.predict(test, lexicon.context_model(train), ["id", "pos"])
-    x = test.select("id", "pos", "std", "majority").join(got.select("id", "pos", "predicted"), ["id", "pos"], "left")
+    texts = table(spark, d, "layers").select("id", "tier", "dial", "std")
+    test = texts.where("tier = 'silver'")
+    examples, words = (bayes.neighbours(t, ["id", "tier"]) for t in (texts.where("tier <> 'silver'"), test))
+    open_ = lexicon.vote(examples).where("decision = 'ctx'").select(F.col("form").alias("dial"), F.col("std").alias("majority"))
+    sizes = joins.positional(test, ["id"], "dial", "std").groupBy("dial").agg(F.count(F.lit(1)).alias("n"))
+    x = bayes.predict(*(t.select("dial", "std", "prev", "next", "next2") for t in (words, examples)), open_, sizes)
     return x.agg(F.count(F.lit(1)).alias("words"), F.count_if(F.coalesce("predicted", "majority") == F.col("std")).alias("classifier_correct"), F.count_if(F.col("majority") == F.col("std")).alias("majority_correct"))
 
 
